@@ -7,8 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
-from .base import read
+from . import decontaminate, exact_dedup, lattice, licenses, mixing, quality
+from .base import crc_mod, read
+
+#: The vocabulary whose scores op8 takes; a sentencepiece model.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod(F.col("doc_id"), 5) == 0
+    ranking = quality.fit_labels(spark, docs, read(spark, sf_dir, "labels"), ~held_out)
+    rows = quality.scored(spark, docs, ranking)
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= quality.CUT).cast("int").alias("predicted"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +31,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_exact_dedup)}
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+
+
+def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ranking, op4_mix_sources, op5_exact_dedup, op6_benchmark_decontamination, op8_lattice_score, op9_license_templates)}
 
 SQL = {
     "op4_mix_sources": """
