@@ -53,3 +53,36 @@ def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n; a null id counts as 0."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(0))
+
+
+def with_lookup(rows: DataFrame, lookup: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
+    """rows left-joined with lookup, which has one row per key and in `weight` how many rows have it.
+
+    Keys that hold more than one in `most` of all rows are at most `most` keys: they go by broadcast, so no task gets
+    all rows of a hot key; the others are joined by shuffle. rows and lookup should be cheap to read twice."""
+    total = lookup.agg(F.sum(weight)).first()[0] or 0
+    least = max(64, -(-total // most))
+    hot = F.broadcast(lookup.filter(F.col(weight) > least))
+    tried = rows.join(hot, key, "left")
+    rest = tried.filter(F.col(weight).isNull()).select(rows.columns).join(lookup.filter(F.col(weight) <= least).hint("merge"), key, "left")
+    return tried.filter(F.col(weight).isNotNull()).unionByName(rest.select(tried.columns))
+
+
+def text_digest(text):
+    """Of the text as it is; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def rows_kept(spark: SparkSession, docs: DataFrame, stay: DataFrame, digest) -> DataFrame:
+    """The rows of docs whose (doc_id, digest) is in stay (doc_id, digest); of rows equal in both, one (least other columns)."""
+    keyed = docs.withColumn("__digest", digest)
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__stay"))
+    found = keyed.join(stay.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(stay["__id"]) & (keyed["__digest"] == stay["__stay"]), "left_semi")
+    twice = keyed.groupBy("doc_id", "__digest").agg(F.count("*").alias("__n")).filter("__n > 1")
+    twice = scratch(spark, twice.select(F.col("doc_id").alias("__id2"), F.col("__digest").alias("__twice")), "twice")
+    if twice.isEmpty():
+        return found.select(docs.columns)
+    again = found["doc_id"].eqNullSafe(twice["__id2"]) & (found["__digest"] == twice["__twice"])
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = found.join(twice, again, "left_semi").groupBy("doc_id", "__digest").agg(F.min(F.struct(*rest)).alias("__row"))
+    return found.join(twice, again, "left_anti").select(docs.columns).unionByName(one.select("doc_id", "__row.*").select(docs.columns))

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SPACE, scratch
+from .base import SPACE, rows_kept, scratch
 
 
 def normalised(text: Column) -> Column:
@@ -84,21 +84,5 @@ class DigestIndex:
 def deduplicated(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    keyed = docs.withColumn("__digest", digest(F.col("text")))
-    stay = index.deduplicate(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    same = (docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))) & (keyed["__digest"] == stay["__digest"])
-    found = keyed.join(stay.hint("merge"), same, "left_semi")
-    # rows equal in id and text: one of them, chosen by its other columns
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    twice = scratch(spark, keyed.groupBy("doc_id", "__digest").agg(F.count("*").alias("__n")).filter("__n > 1"), "twice")
-    if twice.isEmpty():
-        return found.select(docs.columns)
-    again = (found["doc_id"].eqNullSafe(twice["doc_id"])) & (found["__digest"] == twice["__digest"])
-    one = (
-        found.join(twice, again, "left_semi")
-        .groupBy("doc_id", "__digest")
-        .agg(F.min(F.struct("text", *rest)).alias("__row"))
-        .select("doc_id", "__row.*")
-        .select(docs.columns)
-    )
-    return found.join(twice, again, "left_anti").select(docs.columns).unionByName(one)
+    stay = index.deduplicate(docs).filter("kept").select("doc_id", "digest")
+    return rows_kept(spark, docs, stay, digest(F.col("text")))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lattice, licenses, mixing, quality
+from . import decontaminate, exact_dedup, jaccard, lattice, licenses, mixing, quality
 from .base import crc_mod, read
 
 #: The vocabulary whose scores op8 takes; a sentencepiece model.
@@ -43,7 +43,12 @@ def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ranking, op4_mix_sources, op5_exact_dedup, op6_benchmark_decontamination, op8_lattice_score, op9_license_templates)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard.near_classes(spark, read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ranking, op4_mix_sources, op5_exact_dedup, op6_benchmark_decontamination, op8_lattice_score, op9_license_templates, op10_ngram_jaccard)}
 
 SQL = {
     "op4_mix_sources": """
