@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, jaccard, lattice, licenses, mixing, quality, substrings
+from . import decontaminate, disclosure, exact_dedup, html_text, jaccard, lattice, licenses, mixing, quality, substrings
 from .base import crc_mod, read
 
 #: The vocabulary whose scores op8 takes; a sentencepiece model.
@@ -25,6 +25,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated(spark, read(spark, sf_dir, "documents"))
 
 
+def op3_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(spark, read(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -56,7 +60,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ranking, op2_substring_dedup, op4_mix_sources, op5_exact_dedup, op6_benchmark_decontamination, op7_html_min_cut, op8_lattice_score, op9_license_templates, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_ranking, op2_substring_dedup, op3_disclosing_terms, op4_mix_sources, op5_exact_dedup, op6_benchmark_decontamination, op7_html_min_cut, op8_lattice_score, op9_license_templates, op10_ngram_jaccard)}
 
 SQL = {
     "op4_mix_sources": """

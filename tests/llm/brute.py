@@ -108,3 +108,32 @@ def components(docs, size=4, percent=85):
         for s in sets[a]:
             holders.setdefault(s, []).append(a)
     return [(doc, len(sets[doc]), find(doc)) for doc in ids]
+
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def real(kind, value):
+    digits = [int(x) for x in value if x in "0123456789"]
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "phone":
+        return 8 <= len(digits) <= 15
+    if kind == "card":
+        doubled = [2 * d - 9 * (d > 4) if k % 2 else d for k, d in enumerate(reversed(digits))]
+        return 16 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+    return True
+
+
+def private(docs):
+    out = []
+    for doc, text in docs:
+        spans = {k: [m.span() for m in re.finditer(p, text or "") if real(k, m[0])] for k, p in PLAIN.items()}
+        joined = ",".join(f"{k}:{a}:{b}" for k, found in spans.items() for a, b in found)
+        out.append((doc, *(len(found) for found in spans.values()), sha(joined)))
+    return out
