@@ -7,10 +7,12 @@ can have, so linked sets agree in a block and meet in its list, while sets that
 not: whole blocks of shingles are skipped unless they agree. A set below the next size level is indexed on its
 own level and on the one below, which covers all sizes that can link.
 
-Answers are derived from those of similar sets: in each list only the pair with the list's least node is compared
-first; what links falls into one component, and all pairs inside a component are skipped from then on. Lists
-that lie in one component are done. In the lists left, every pair across components is compared, so no link is
-lost; sizes that can't link are skipped. Comparisons are exact, on the shingles of whole texts; hashes have 64 bits.
+Answers are derived from those of similar sets: each node is compared first with one hub, the most central node of the
+lists that it shares most of; what links falls into one component, and all pairs inside a component are skipped from
+then on. Lists that lie in one component are done. In the lists left, every pair across components counts, so no link
+is lost; within a list, sizes that can't link are skipped as a block, and so are pairs whose parity sketches differ in
+more bits than linked sets can differ in shingles (each differing shingle flips one bit, so a sketch never skips a link). Comparisons
+of what is left are exact, on the shingles of whole texts; hashes have 64 bits.
 
 Defined results: a null or blank text has the empty set and links with nothing; fewer words than a shingle make one
 shingle of the whole sequence; equal ids are separate rows with their own texts; a component is named by its least
@@ -32,6 +34,10 @@ from .components import components
 
 #: Members that are compared with one hub in one task.
 CHUNK = 200
+#: Bits of a parity sketch.
+SKETCH = 512
+#: Pairs of a list that are looked at together.
+TILE = 1 << 18
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -58,6 +64,12 @@ def signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=2)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """SKETCH bits; a bit tells whether an odd number of tokens falls on it."""
+    bits = np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 class Levels:
     """Size levels and their numbers of blocks, for a threshold of percent / 100."""
 
@@ -108,7 +120,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, digest (of the text), n, sig; sig is null for empty sets."""
+    """doc_id, digest (of the text), n, sig, sketch; sig is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +128,11 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
             n = pa.array([len(t) for t in rows], pa.int64())
             sig = np.array([signature(t) for t in rows], dtype=np.uint64)
             sig = pa.array(signed(sig), mask=np.array([not len(t) for t in rows], dtype=bool))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), n, sig], names=["doc_id", "digest", "n", "sig"])
+            marks = pa.array([sketch(t) for t in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), n, sig, marks], names=["doc_id", "digest", "n", "sig", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest binary, n long, sig long")
+    return rows.mapInArrow(run, "doc_id long, digest binary, n long, sig long, sketch binary")
 
 
 def lists(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -167,57 +180,83 @@ def _all(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
 
 
 def first_pairs(found: DataFrame) -> DataFrame:
-    """hub, sig: each node with the hub that it shares most lists with; a list's hub is its least node."""
+    """hub, sig: each node with the hub that it shares most lists with. A list's hub is its most central node, the one
+    with the most other nodes in all its lists; hubs of hubs are more central yet, so there are no cycles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sig = _all(batches, "key", "sig")
+        key, sig, central = _all(batches, "key", "sig", "central")
         if not len(key):
             return
-        order = np.lexsort((sig, key))
+        order = np.lexsort((sig, central, key))
         key, sig = key[order], sig[order]
-        start = np.concatenate([[True], key[1:] != key[:-1]])
-        hub = sig[np.flatnonzero(start)][np.cumsum(start) - 1]
-        pairs, n = np.unique(np.stack([hub[~start], sig[~start]]), axis=1, return_counts=True)
+        last = np.concatenate([key[1:] != key[:-1], [True]])
+        ends = np.flatnonzero(last)
+        hub = sig[ends][np.searchsorted(ends, np.arange(len(key)))]
+        pairs, n = np.unique(np.stack([hub[~last], sig[~last]]), axis=1, return_counts=True)
         yield _batch(["hub", "sig", "lists"], pairs[0], pairs[1], n)
 
-    pairs = found.mapInArrow(run, "hub long, sig long, lists long").groupBy("hub", "sig").agg(F.sum("lists").alias("lists"))
+    sizes = found.groupBy("key").agg((F.count("*") - 1).alias("others"))
+    central = found.join(sizes, "key").groupBy("sig").agg(F.sum("others").alias("central"))
+    rows = found.join(central, "sig").repartition("key").select("key", "sig", "central")
+    pairs = rows.mapInArrow(run, "hub long, sig long, lists long").groupBy("hub", "sig").agg(F.sum("lists").alias("lists"))
     return pairs.groupBy("sig").agg(F.max(F.struct("lists", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "sig")
 
 
 def cross_pairs(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """hub, sig: pairs that share a list, lie in different components and have sizes that can link. nodes: sig, n, root."""
+    """hub, sig: pairs that share a list, lie in different components and may link by sizes and sketches. nodes: sig, n, root, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sig, n, root = _all(batches, "key", "sig", "n", "root")
-        if not len(key):
+        rows = [(b.column("key").to_numpy(), b.column("sig").to_numpy(), b.column("n").to_numpy(), b.column("root").to_numpy(), _words(b.column("sketch"))) for b in batches]
+        if not rows:
             return
+        key, sig, n, root, marks = (np.concatenate([r[k] for r in rows]) for k in range(5))
         order = np.lexsort((n, key))
-        key, sig, n, root = key[order], sig[order], n[order], root[order]
+        key, sig, n, root, marks = key[order], sig[order], n[order], root[order], marks[order]
         ends = np.concatenate([np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        start, held = 0, []
+        start, held, size = 0, [], 0
         for end in ends:
             if (root[start:end] != root[start]).any():
-                for k in range(start, end - 1):
-                    # sizes rise along the list: those that can't link with k's are a block at its end
-                    upto = start + int(np.searchsorted(n[start:end], n[k] * 100 // percent, side="right"))
-                    other = sig[k + 1 : upto][root[k + 1 : upto] != root[k]]
-                    if len(other):
-                        held.append(np.stack([np.minimum(other, sig[k]), np.maximum(other, sig[k])]))
-                        if len(held) > 20_000:
-                            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
-                            held = []
-                            yield _batch(["hub", "sig"], pairs[0], pairs[1])
+                for a, b in _near(n[start:end], root[start:end], marks[start:end], percent):
+                    one, two = sig[start + a], sig[start + b]
+                    held.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
+                    size += len(a)
+                if size > 500_000:
+                    held = [np.unique(np.concatenate(held, axis=1), axis=1)]
+                    if (size := held[0].shape[1]) > 250_000:
+                        yield _batch(["hub", "sig"], *held[0])
+                        held, size = [], 0
             start = end
-        if held:
-            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
-            yield _batch(["hub", "sig"], pairs[0], pairs[1])
+        if size:
+            yield _batch(["hub", "sig"], *np.unique(np.concatenate(held, axis=1), axis=1))
 
-    rows = found.join(nodes, "sig")
-    return rows.select("key", "sig", "n", "root").repartition("key").mapInArrow(run, "hub long, sig long").distinct()
+    rows = found.join(nodes, "sig").select("key", "sig", "n", "root", "sketch").repartition("key")
+    return rows.mapInArrow(run, "hub long, sig long").distinct()
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), SKETCH // 64)
+
+
+def _near(n: np.ndarray, root: np.ndarray, marks: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one list, sorted by n, in tiles: sizes rise along the list, so those too large for a row are a block at its end."""
+    ends = np.searchsorted(n, n * 100 // percent, side="right")
+    at = 0
+    while at < len(n) - 1:
+        upto = at + max(1, min(len(n) - 1 - at, TILE // max(1, int(ends[at]) - at)))
+        a, b = np.arange(at, upto), np.arange(at + 1, int(ends[upto - 1]))
+        may = (b[None] > a[:, None]) & (b[None] < ends[a][:, None]) & (root[b][None] != root[a][:, None])
+        x, y = np.nonzero(may)
+        if len(x):
+            x, y = a[x], b[y]
+            differ = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+            ok = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            if ok.any():
+                yield x[ok], y[ok]
+        at = upto
 
 
 def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of pairs (hub, sig) that link. texts: sig, text."""
+    """The pairs (a, b) of pairs (hub, sig; a written table) that link. texts: sig, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hub_set = None, None
@@ -235,7 +274,6 @@ def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, p
                         b.append(sig)
             yield _batch(["a", "b"], np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
 
-    pairs = scratch(spark, pairs, "pairs")
     degree = scratch(spark, pairs.groupBy("hub").agg(F.count("*").alias("degree")), "degree")
     pairs = with_lookup(pairs, degree, "hub", "degree")
     pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("sig"), F.ceil(F.col("degree") / CHUNK))).select("hub", "chunk", "sig")
@@ -252,7 +290,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
     docs = docs.select("doc_id", "text")
     rows = scratch(spark, sets(docs, size), "sets")
     own = F.struct(F.col("doc_id").isNull().alias("isnull"), "doc_id", "digest")
-    classes = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(own).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(own).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = scratch(spark, classes, "classes")
     found = scratch(spark, lists(docs, size, percent), "lists")
     wanted = found.select("sig").distinct().join(classes, "sig").select("sig", F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
@@ -260,12 +298,35 @@ def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
     same = keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["digest"] == wanted["__digest"])
     texts = scratch(spark, keyed.join(wanted.hint("merge"), same).select("sig", "text").dropDuplicates(["sig"]), "texts")
 
-    links = scratch(spark, linked(spark, first_pairs(found), texts, size, percent), "links")
-    roots = components(spark, links)
-    nodes = classes.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("root", "sig").alias("root"))
-    more = linked(spark, cross_pairs(found, nodes, percent), texts, size, percent)
-    links = scratch(spark, links.unionByName(more), "links")
-    return _named(spark, rows, classes, components(spark, links))
+    first = scratch(spark, first_pairs(found), "pairs")
+    up = trees(spark, linked(spark, first, texts, size, percent))
+    nodes = found.select("sig").distinct().join(classes.select("sig", "n", "sketch"), "sig").join(up, F.col("sig") == F.col("node"), "left")
+    second = scratch(spark, cross_pairs(found, nodes.select("sig", "n", "sketch", F.coalesce("root", "sig").alias("root")), percent), "pairs")
+    roots = up
+    if not second.isEmpty():
+        more = linked(spark, second, texts, size, percent)
+        over = lambda c, name: more.join(up.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+        more = scratch(spark, over("a", "ra"), "links")
+        more = scratch(spark, over("b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct(), "links")
+        joined = components(spark, more)
+        tops = up.unionByName(up.select(F.col("root").alias("node"), "root")).unionByName(joined.select("node", F.col("node").alias("root"))).distinct()
+        top = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = scratch(spark, tops.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        roots = roots.groupBy("node").agg(F.min("root").alias("root"))
+    else:
+        roots = up.unionByName(up.select(F.col("root").alias("node"), "root").distinct())
+    return _named(spark, rows.drop("sketch"), classes.drop("sketch"), roots)
+
+
+def trees(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """links (a, b), at most one for each b and without cycles -> node, root for every b, by doubling the steps up."""
+    up = scratch(spark, links.select(F.col("b").alias("node"), F.col("a").alias("root")), "trees")
+    while True:
+        above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        step = scratch(spark, up.join(above.hint("merge"), "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "trees")
+        up = step.select("node", "root")
+        if step.filter("moved").isEmpty():
+            return up
 
 
 def _named(spark: SparkSession, rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
