@@ -8,8 +8,8 @@ A training word is itself one more path through the lattice, with its count as w
 V of them distinct, and count c, a word has the probability (c + V * lattice) / (N + V). A document's probability
 is the product over its words and one end.
 
-Counts of all words of all documents are summed per task before the shuffle. For scoring, the most frequent HEAD
-words (long ones by their digest) go to the tasks by broadcast; occurrences of all other words are joined by shuffle, so no
+Counts of all words of all documents are summed per task before the shuffle. For scoring, the most frequent words, HEAD
+at most (long ones by their digest), go to the tasks by broadcast; occurrences of all other words are joined by shuffle, so no
 task and not the driver holds a vocabulary that grows with the corpus.
 
 Defined results: a null text is an empty one: one token, the end. Null ids are training rows (see crc_mod). Repeated
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .base import binaries, crc_mod, scratch
 
-#: Words sent to the tasks with their probabilities, and the most bytes that one has there.
-HEAD, HEAD_BYTES = 200_000, 64
+#: Words sent to the tasks with their probabilities at most, and the most bytes that one has there.
+HEAD, HEAD_BYTES = 150_000, 64
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 #: Words of more characters take the plain recursion instead of the one over many words at once.
@@ -224,6 +224,19 @@ def adapted(spark: SparkSession, lattice: Lattice, counts: DataFrame) -> Lattice
     return Lattice(lattice.pieces, np.log(0.999 * (0.999 * uses / uses.sum() + 0.001 * old / old.sum())), lattice.log_byte)
 
 
+def head_count(counts: DataFrame, most: int = HEAD) -> float:
+    """The least count, of steps of an eighth of a power of 2, that at most `most` words reach."""
+    step = F.floor(F.log2("c") * 8)
+    found = counts.filter("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    least, total = math.inf, 0
+    for r in sorted(found, key=lambda r: -r["step"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
+
+
 def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs (doc_id, text)."""
     held = crc_mod(F.col("doc_id"), 7) == 2 if held_out is None else held_out
@@ -244,8 +257,9 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None,
 
     weighed = scratch(spark, counts.mapInArrow(weigh, "word binary, c long, base double, mixed double"), "weighed")
     key = F.when(F.length("word") <= HEAD_BYTES, F.col("word")).otherwise(F.concat(F.lit(DIGEST), F.unhex(F.sha2("word", 256))))
-    head = weighed.filter("c > 0").select(key.alias("key"), "c", "base", "mixed").orderBy(F.col("c").desc(), "key").limit(HEAD).collect()
-    known = spark.sparkContext.broadcast({bytes(r["key"]): (r["base"], r["mixed"]) for r in head})
+    head = weighed.filter(F.col("c") >= head_count(weighed)).select(key.alias("key"), "base", "mixed").toArrow()
+    columns = [head.column(c).to_pylist() for c in ("key", "base", "mixed")]
+    known = spark.sparkContext.broadcast({k: (b, m) for k, b, m in zip(*columns, strict=True)})
     end = (math.log10((ends + 1) / (n + v + 1)), math.log10(max(ends, 1) / (n + max(v, 1))), int(ends > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
