@@ -73,7 +73,7 @@ class DummyModel:
             if order is None:
                 order = "__row"
                 rows = rows.withColumn(order, F.monotonically_increasing_id())
-            found = rows.select(score.alias("prediction"), F.col(order).alias("__order")).toPandas().sort_values("__order", kind="stable")
+            found = rows.select(score.alias("prediction"), F.col(f"`{order}`").alias("__order")).toPandas().sort_values("__order", kind="stable")
             return found["prediction"].to_numpy()
         out = rows.select(score.alias("prediction"), *([target.alias(self.target)] if target is not None else []))
         if output_mode == "WRITE_TO_TABLE":
