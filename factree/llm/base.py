@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
+
 #: Characters that part words in most operators: space and \t to \r.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Rows of a batch that goes to Python.
+ROWS = 1000
+
 #: bytes.translate table: A-Z to lower case, every ASCII character that is neither letter nor digit to a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -25,24 +26,36 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, else the warehouse; a temporary one in local mode only."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
-        found = spark.conf.get("spark.sql.warehouse.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="factree-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def by_batches(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches of ROWS rows: texts are long, and a worker holds a batch several times over.
+
+    The setting is the session's; one that was set to another value than Spark's own stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    return df.mapInArrow(function, schema)
+
+
+def bitmap(hashes: DataFrame, column: str, log2: int = 27) -> np.ndarray:
+    """2^log2 bits (16 MB), those set that the low bits of a column of hashes name: a filter of fixed size without false negatives."""
+    place = F.col(column).bitwiseAND(2**log2 - 1) + 1
+    parts = hashes.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part")
+    out = np.zeros(2**log2 // 8, dtype=np.uint8)
+    for r in parts.agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        at = (r["part"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def likely(rows: DataFrame, column, wanted: DataFrame, hashed: str, buckets: int = 2**20) -> DataFrame:
+    """The rows whose hash falls into a bucket of a wanted hash: a broadcast of at most `buckets` numbers, so that an exact join moves less."""
+    few = wanted.select(F.pmod(F.col(hashed), F.lit(buckets)).cast("int").alias("__bucket")).distinct()
+    return rows.join(F.broadcast(few), F.pmod(column, F.lit(buckets)).cast("int") == few["__bucket"], "left_semi")
 
 
 def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

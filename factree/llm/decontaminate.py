@@ -14,7 +14,6 @@ benchmark no hits.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .base import FOLD, binaries
+from .base import FOLD, binaries, by_batches
 
 WINDOW = 10
 #: Words of items per automaton: some 100 MB in a Python worker.
@@ -31,7 +30,7 @@ SHARD_WORDS = 200_000
 #: A document of which more than this share is hit is dropped, others lose the spans that are hit.
 MOST_COVERED = 0.5
 
-RAW_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+FOLDED_WORD = re.compile(rb"[^ ]+")
 
 
 def words(text: bytes) -> list[bytes]:
@@ -116,7 +115,7 @@ def shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[tu
         yield now
 
 
-def scan(spark: SparkSession, docs: DataFrame, shard: list[tuple[object, bytes]], window: int = WINDOW, with_spans: bool = False) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, shard: list[tuple[object, bytes]], window: int = WINDOW) -> DataFrame:
     """rid, doc_id, n_words, starts and ends of hit spans (in words), items (of this shard whose windows occur)."""
     sent = spark.sparkContext.broadcast(shard)
 
@@ -140,7 +139,7 @@ def scan(spark: SparkSession, docs: DataFrame, shard: list[tuple[object, bytes]]
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "rid long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>")
+    return by_batches(rows, run, "rid long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
 def _joined(found: list[DataFrame]) -> DataFrame:
@@ -202,17 +201,14 @@ def _cut(spark: SparkSession, docs: DataFrame, shard: list[tuple[object, bytes]]
             columns[place] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_batches(docs, run, docs.schema)
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    at = [m.span() for m in RAW_WORD.finditer(text)]
+    at = [m.span() for m in FOLDED_WORD.finditer(text.translate(FOLD))]
     out, upto = [], 0
     for a, b in spans:
         out.append(text[upto : at[a][0]])
         upto = at[b - 1][1]
     return b"".join([*out, text[upto:]])
 
-
-def digest_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

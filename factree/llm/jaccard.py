@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binaries, rows_kept, scratch, text_digest, with_lookup
+from .base import binaries, by_batches, likely, rows_kept, scratch, text_digest, with_lookup
 from .components import components
 
 #: Members that are compared with one hub in one task.
@@ -132,7 +132,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), n, sig, marks], names=["doc_id", "digest", "n", "sig", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest binary, n long, sig long, sketch binary")
+    return by_batches(rows, run, "doc_id long, digest binary, n long, sig long, sketch binary")
 
 
 def lists(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -171,7 +171,8 @@ def lists(docs: DataFrame, size: int, percent: int) -> DataFrame:
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         yield _batch(["key", "sig"], key[keep], sig[keep])
 
-    return docs.select("text").mapInArrow(emit, "key long, sig long").repartition("key").mapInArrow(shared, "key long, sig long")
+    rows = by_batches(docs.select("text"), emit, "key long, sig long")
+    return by_batches(rows.repartition("key"), shared, "key long, sig long")
 
 
 def _all(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
@@ -198,7 +199,7 @@ def first_pairs(found: DataFrame) -> DataFrame:
     sizes = found.groupBy("key").agg((F.count("*") - 1).alias("others"))
     central = found.join(sizes, "key").groupBy("sig").agg(F.sum("others").alias("central"))
     rows = found.join(central, "sig").repartition("key").select("key", "sig", "central")
-    pairs = rows.mapInArrow(run, "hub long, sig long, lists long").groupBy("hub", "sig").agg(F.sum("lists").alias("lists"))
+    pairs = by_batches(rows, run, "hub long, sig long, lists long").groupBy("hub", "sig").agg(F.sum("lists").alias("lists"))
     return pairs.groupBy("sig").agg(F.max(F.struct("lists", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "sig")
 
 
@@ -230,7 +231,7 @@ def cross_pairs(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield _batch(["hub", "sig"], *np.unique(np.concatenate(held, axis=1), axis=1))
 
     rows = found.join(nodes, "sig").select("key", "sig", "n", "root", "sketch").repartition("key")
-    return rows.mapInArrow(run, "hub long, sig long").distinct()
+    return by_batches(rows, run, "hub long, sig long").distinct()
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -282,7 +283,7 @@ def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, p
     hubs = pairs.select("hub", "chunk").distinct().join(texts.withColumnRenamed("sig", "hub").hint("merge"), "hub")
     rows = members.unionByName(hubs.select("hub", "chunk", F.lit(False).alias("member"), F.col("hub").alias("sig"), "text"))
     rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "member")
-    return rows.mapInArrow(run, "a long, b long")
+    return by_batches(rows, run, "a long, b long")
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -294,7 +295,9 @@ def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
     classes = scratch(spark, classes, "classes")
     found = scratch(spark, lists(docs, size, percent), "lists")
     wanted = found.select("sig").distinct().join(classes, "sig").select("sig", F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+    wanted = scratch(spark, wanted.withColumn("__hash", F.xxhash64("__digest")), "wanted")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", text_digest(F.col("text")))
+    keyed = likely(keyed, F.xxhash64("digest"), wanted, "__hash")
     same = keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["digest"] == wanted["__digest"])
     texts = scratch(spark, keyed.join(wanted.hint("merge"), same).select("sig", "text").dropDuplicates(["sig"]), "texts")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binaries, crc_mod, scratch
+from .base import binaries, by_batches, crc_mod, scratch
 
 #: Words sent to the tasks with their probabilities at most, and the most bytes that one has there.
 HEAD, HEAD_BYTES = 150_000, 64
@@ -202,19 +202,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select("learn", "text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return by_batches(docs.select("learn", "text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Small batches put together: the lattice takes words of equal length at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def adapted(spark: SparkSession, lattice: Lattice, counts: DataFrame) -> Lattice:
     """The lattice with weights from expected uses over the distinct training words; a thousandth stays with the old weights."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.pieces))
-        for batch in batches:
+        for batch in joined(batches):
             total += lattice.expected(batch.column("word").to_pylist())
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.float64())], names=["piece", "n"])
 
-    rows = counts.filter("c > 0").select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    rows = by_batches(counts.filter("c > 0").select("word"), run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     uses = np.zeros(len(lattice.pieces))
     for r in rows:
         uses[r["piece"]] = r["n"]
@@ -249,13 +261,13 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None,
     for _ in range(rounds):
         lattice = adapted(spark, lattice, counts)
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in joined(batches):
             found, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
             mixed = np.log10((c + max(v, 1) * np.exp(np.maximum(lattice.log_probability(found), -600.0))) / (n + max(v, 1)))
             base = np.log10((c + 1) / (n + v + 1))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(base), pa.array(mixed)], names=["word", "c", "base", "mixed"])
 
-    weighed = scratch(spark, counts.mapInArrow(weigh, "word binary, c long, base double, mixed double"), "weighed")
+    weighed = scratch(spark, by_batches(counts, weigh, "word binary, c long, base double, mixed double"), "weighed")
     key = F.when(F.length("word") <= HEAD_BYTES, F.col("word")).otherwise(F.concat(F.lit(DIGEST), F.unhex(F.sha2("word", 256))))
     head = weighed.filter(F.col("c") >= head_count(weighed)).select(key.alias("key"), "base", "mixed").toArrow()
     columns = [head.column(c).to_pylist() for c in ("key", "base", "mixed")]
@@ -286,7 +298,7 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None,
             )
 
     schema = "rid long, doc_id long, learn boolean, n_tokens long, hits long, base double, mixed double, rare array<binary>"
-    part = scratch(spark, rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, schema), "scored")
+    part = scratch(spark, by_batches(rows.withColumn("rid", F.monotonically_increasing_id()), run, schema), "scored")
     tail = part.select("rid", F.explode("rare").alias("word"))
     tail = tail.join(weighed.hint("merge"), "word").groupBy("rid").agg(
         F.sum((F.col("c") > 0).cast("long")).alias("t_hits"), F.sum("base").alias("t_base"), F.sum("mixed").alias("t_mixed")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import FOLD, binaries
+from .base import FOLD, binaries, by_batches
 
 # Phrases of the base and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -192,4 +192,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<array<long>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)

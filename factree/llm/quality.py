@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from .base import binaries
+from .base import binaries, by_batches
 
 #: Rows of each label that a fit looks at, at most.
 SAMPLE = 6000
@@ -143,7 +144,7 @@ def fit_labels(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: C
             rows = [np.asarray(features(t)).tobytes() for t in binaries(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("label")], names=["x", "label"])
 
-    rows = training_rows(docs, labels, learn, label, sample).mapInArrow(run, "x binary, label long").collect()
+    rows = by_batches(training_rows(docs, labels, learn, label, sample), run, "x binary, label long").collect()
     rows = sorted((bytes(r["x"]), r["label"]) for r in rows)
     x = np.array([np.frombuffer(r[0]) for r in rows]).reshape(-1, WIDTH)
     return fit(x, np.array([r[1] for r in rows]))
@@ -158,6 +159,4 @@ def scored(spark: SparkSession, docs: DataFrame, ranking: Ranking) -> DataFrame:
             x = np.array([features(t) for t in binaries(batch.column(place))]).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranking.score(x), pa.float64())], names=[*batch.schema.names, "__score"])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    return by_batches(docs, run, StructType([*docs.schema.fields]).add("__score", DoubleType()))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .base import SPACE, binaries, scratch, with_lookup
+from .base import SPACE, binaries, bitmap, by_batches, in_bitmap, likely, scratch, with_lookup
 
 WINDOW, SEED = 35, 8
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -97,12 +97,15 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: i
     n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.translate("words", " ", "")) + 1).cast("long")
     rows = scratch(spark, flat.select("doc_id", "tid", n_words.alias("n_words"), F.unhex(F.sha2("words", 256)).alias("sha")), "documents")
     found = scratch(spark, _runs(flat.select("tid", "words"), window, seed), "runs")
+    # anchors that stand once are most of all and can't repeat: a bitmap of the others spares the joins nearly all of them
+    anchors = scratch(spark, found.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1"), "anchors")
+    found = _in(found, "anchor", bitmap(anchors, "anchor"))
+    found = scratch(spark, with_lookup(scratch(spark, found, "likely"), anchors, "anchor", "total").filter("total IS NOT NULL").drop("total"), "candidates")
     groups = found.groupBy("run").agg(F.first("anchor").alias("anchor"), F.count("*").alias("c"), F.min("tid").alias("least"))
     groups = scratch(spark, groups, "groups")
-    anchors = groups.groupBy("anchor").agg(F.sum("c").alias("total"), F.count("*").alias("d")).filter("total > 1")
-    anchors = scratch(spark, anchors.select("anchor", "d"), "anchors")
-    shared = scratch(spark, with_lookup(groups, anchors, "anchor", "d").filter("d IS NOT NULL").select("run", "c", "d", "least"), "shared")
-    placed = with_lookup(found.select("run", "tid", "first", "windows"), shared, "run", "c").filter("c IS NOT NULL")
+    unlike = scratch(spark, groups.groupBy("anchor").agg(F.count("*").alias("d")), "unlike")
+    shared = scratch(spark, with_lookup(groups, unlike, "anchor", "d").select("run", "c", "d", "least"), "shared")
+    placed = with_lookup(found.select("run", "tid", "first", "windows"), shared, "run", "c")
     # copies of a text have the same runs: once is enough from here on
     placed = scratch(spark, placed.dropDuplicates(["tid", "first"]), "placed")
 
@@ -115,6 +118,7 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: i
     touched = whole.join(unsure, "tid", "full_outer").join(distinct, "tid").withColumn("gone", covered(F.col("spans")))
     touched = scratch(spark, touched.select("tid", "spans", "unsure", "gone", "n_words", F.col("one.doc_id").alias("__id")), "touched")
     part = touched.filter("gone < n_words OR unsure IS NOT NULL").withColumnRenamed("tid", "__tid")
+    flat = likely(flat, F.col("tid"), part, "__tid")
     texts = flat.join(part.hint("merge"), flat["doc_id"].eqNullSafe(part["__id"]) & (flat["tid"] == part["__tid"]))
     texts = scratch(spark, texts.select("tid", "words", "spans", "unsure", "gone", "n_words").dropDuplicates(["tid"]), "texts")
 
@@ -154,7 +158,17 @@ def _runs(flat: DataFrame, window: int, seed: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["tid", "anchor", "run", "first", "windows"])
 
-    return flat.mapInArrow(run, "tid long, anchor long, run long, first long, windows long")
+    return by_batches(flat, run, "tid long, anchor long, run long, first long, windows long")
+
+
+def _in(found: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    sent = found.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(sent.value, batch.column(column).to_numpy())))
+
+    return found.mapInArrow(run, found.schema)
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
@@ -172,7 +186,7 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["tid", "first", "open", "digest"])
 
-    return texts.mapInArrow(run, "tid long, first long, open boolean, digest long")
+    return by_batches(texts, run, "tid long, first long, open boolean, digest long")
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
@@ -193,7 +207,7 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
                 kept.append(hashlib.sha256(b" ".join(w for w, s in zip(words, stays.tolist(), strict=True) if s)).digest())
             yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["tid", "n_removed", "kept"])
 
-    return texts.mapInArrow(run, "tid long, n_removed long, kept binary")
+    return by_batches(texts, run, "tid long, n_removed long, kept binary")
 
 
 def known_spans(words: list[bytes], shard: tuple[SuffixAutomaton, dict[bytes, int]], least: int) -> list[tuple[int, int]]:
@@ -252,4 +266,4 @@ def remove_known(spark: SparkSession, docs: DataFrame, reference: DataFrame, win
             columns[place] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_batches(docs, run, docs.schema)
