@@ -14,9 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import Predicate, Test
+from ..functions.expressions import Predicate, Test, all_of
 from ..plans.graph import CAT, LCAT, NUM
 
+#: Slices of a feature whose prefix sums are made in parts.
+SLICES = 512
+
 
 def gain(s: Column, c: Column, g: Column, h: Column) -> Column:
     """How much a cut into (s, c) and the rest of (g, h) lowers the squared error: (s h - c g)^2 / (c (h - c) h), 0 outside 0 < c < h.
@@ -66,23 +69,46 @@ def prefix_sums(found: DataFrame, by: Sequence[str], order: Sequence[Column], s:
     return found.select("*", *columns)
 
 
-def curve(found: DataFrame) -> DataFrame:
-    """Every possible cut with its left side (ps, pc), totals (g, h) and gain."""
+def sliced_prefix_sums(found: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, slices: int) -> DataFrame:
+    """Like prefix_sums, but no task gets all rows of a group: rows are cut into slices of equal width of `value`, slices are
+    summed with map-side combine, and only those sums and each slice by itself are put in order. Nulls are the last slice."""
+    low, high = F.min(value).alias("__low"), F.max(value).alias("__high")
+    bounds = found.groupBy(*by).agg(low, high, F.sum("s").alias("g"), F.sum("c").alias("h"))
+    place = F.floor((F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * slices)
+    place = F.when(F.col(value).isNull(), slices + 1).when(F.col("__high") > F.col("__low"), place).otherwise(0)
+    rows = found.join(F.broadcast(bounds), on=all_of([found[b].eqNullSafe(bounds[b]) for b in by])).drop(*[bounds[b] for b in by])
+    rows = rows.withColumn("__slice", place.cast("int")).drop("__low", "__high")
+    sums = rows.groupBy(*by, "__slice").agg(F.sum("s").alias("__s"), F.sum("c").alias("__c"))
+    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__slice").alias("__at"), *[F.coalesce(F.sum(f"__{x}").over(before), F.lit(0)).alias(f"__before_{x}") for x in "sc"])
+    running = Window.partitionBy(*by, "__slice").orderBy(*order)
+    rows = rows.select("*", F.sum("s").over(running).alias("__ps"), F.sum("c").over(running).alias("__pc"))
+    rows = rows.join(starts, all_of([*[rows[b].eqNullSafe(F.col(f"__{b}")) for b in by], F.col("__slice") == F.col("__at")]))
+    rows = rows.withColumn("ps", F.col("__ps") + F.col("__before_s")).withColumn("pc", F.col("__pc") + F.col("__before_c"))
+    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+
+
+def curve(found: DataFrame, slices: int = 0) -> DataFrame:
+    """Every possible cut with its left side (ps, pc), totals (g, h) and gain. slices: for rows that are written and many."""
     ordered = F.col("kind") == LCAT
     found = found.withColumn("mean", F.when(ordered, F.col("s").cast("double") / F.col("c")))
     text = F.when(~ordered, F.col("txt"))
     order = [F.col("mean").asc_nulls_last(), F.col("num").asc_nulls_last(), text.asc_nulls_last()]
-    sums = prefix_sums(found, ["node", "fid"], order)
+    if slices:
+        found = found.withColumn("position", F.coalesce("mean", "num"))  # strings in order of value stay in one slice
+        sums = sliced_prefix_sums(found, ["node", "fid"], order, "position", slices).drop("position")
+    else:
+        sums = prefix_sums(found, ["node", "fid"], order)
     alone = F.col("kind") == CAT
     sums = sums.withColumn("ps", F.when(alone, F.col("s")).otherwise(F.col("ps"))).withColumn("pc", F.when(alone, F.col("c")).otherwise(F.col("pc")))
     return sums.withColumn("gain", gain(F.col("ps"), F.col("pc"), F.col("g"), F.col("h")))
 
 
-def best(found: DataFrame) -> DataFrame:
+def best(found: DataFrame, slices: int = 0) -> DataFrame:
     """The best cut of each (node, fid): the greatest gain, then the least value; of LCAT features with the left set."""
     cut = F.struct((-F.col("gain")).alias("loss"), "mean", F.col("num").isNull().alias("nonum"), "num", F.col("txt").isNull().alias("notxt"), "txt", "ps", "pc", "g", "h")
     members = F.collect_list(F.when(F.col("kind") == LCAT, F.struct("mean", "txt")))
-    top = curve(found).groupBy("node", "fid", "kind").agg(F.min(cut).alias("b"), members.alias("members"))
+    top = curve(found, slices).groupBy("node", "fid", "kind").agg(F.min(cut).alias("b"), members.alias("members"))
     left = F.transform(F.filter("members", lambda m: m["mean"] <= F.col("b.mean")), lambda m: m["txt"])
     return top.select("node", "fid", "kind", (-F.col("b.loss")).alias("gain"), "b.num", "b.txt", "b.ps", "b.pc", "b.g", "b.h", left.alias("members"))
 

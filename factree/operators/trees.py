@@ -20,9 +20,13 @@ from ..functions.expressions import Predicate, all_of
 from ..plans.graph import LCAT, NUM, JoinGraph
 from ..sources.shared import scratch
 from .semiring import Variance
-from .splits import Split, best, long_form
+from .splits import SLICES, Split, best, long_form
 
 GROWTHS = ("bestfirst", "depthwise", "levelwise")
+#: Most nodes of a level that is split ahead.
+AHEAD = 1024
+#: Rows of a node from which on its features' prefix sums are made in slices.
+MANY = 20_000_000
 
 
 @dataclass
@@ -34,6 +38,14 @@ class Node:
     is_left: bool = True
     found: Split | None = None  # the best split
     children: tuple[Node, Node] | None = None
+    below: tuple[int, ...] = ()  # numbers of nodes that were cut below this leaf
+
+    def cut(self) -> None:
+        if self.children:
+            for c in self.children:
+                c.cut()
+            self.below = tuple(x for c in self.children for x in (c.number, *c.below))
+            self.children = None
 
     @property
     def gain(self) -> float:
@@ -56,44 +68,47 @@ class Grower:
     number: int = 0
 
     def grow(self, total: Variance) -> Node:
+        """A node's best split does not depend on the order in which nodes are split, so whole levels are split first, one
+        job each, and the growth then chooses among them. Only trees that could have more than AHEAD nodes on a level are
+        grown a split at a time."""
         root = Node(0, 0, total)
         self.number = 1
         self._evaluate([root])
-        whole_levels = self.growth == "levelwise" or self.num_leaves >= 2**self.max_depth
-        leaves, order = 1, 0
-        open_nodes: list = []
+        ahead = 2**self.max_depth <= AHEAD
+        if ahead:
+            level = [root]
+            while level := [n for n in level if n.gain > 0]:
+                children = [c for n in level for c in self._split(n)]
+                self._route(level)
+                self._evaluate(children)
+                level = children
+        self._choose(root, ahead)
+        return root
+
+    def _choose(self, root: Node, ahead: bool) -> None:
+        """Splits nodes in the order of the growth until there are num_leaves leaves; what was split ahead and not chosen is cut."""
+        order, count = 0, 1
+        waiting: list = []
 
         def push(node: Node) -> None:
             nonlocal order
             order += 1
             key = {"bestfirst": (-node.gain, node.depth, node.number), "depthwise": (-order, 0, 0), "levelwise": (order, 0, 0)}[self.growth]
-            heapq.heappush(open_nodes, (key, node))
+            heapq.heappush(waiting, (key, node))
 
         push(root)
-        while open_nodes and leaves < self.num_leaves:
-            batch = []
-            if whole_levels:  # all of the shallowest open level, as far as leaves go
-                depth = min(n.depth for _, n in open_nodes)
-                level = [n for _, n in sorted(open_nodes, key=lambda x: x[0]) if n.depth == depth]
-                open_nodes = [x for x in open_nodes if x[1].depth != depth]
-                heapq.heapify(open_nodes)
-                useful = [n for n in level if n.gain > 0]
-                batch = useful[: self.num_leaves - leaves]
-            else:
-                node = heapq.heappop(open_nodes)[1]
-                if node.gain > 0:
-                    batch = [node]
-                elif self.growth == "bestfirst":
-                    break
-            if not batch:
+        while waiting:
+            node = heapq.heappop(waiting)[1]
+            if node.gain <= 0 or count >= self.num_leaves:
+                node.cut()
                 continue
-            children = [c for n in batch for c in self._split(n)]
-            leaves += len(batch)
-            self._route(batch)
-            self._evaluate(children)
-            for c in children:
-                push(c)
-        return root
+            if not ahead:
+                self._split(node)
+                self._route([node])
+                self._evaluate(node.children)
+            count += 1
+            for child in node.children:
+                push(child)
 
     def _split(self, node: Node) -> tuple[Node, Node]:
         left = Variance(*node.found.left)
@@ -114,7 +129,12 @@ class Grower:
         if not nodes or not features:
             return
         by_number = {n.number: n for n in nodes}
-        rows = best(self.statistics(list(by_number))).collect()
+        statistics = self.statistics(list(by_number))
+        if max(n.total.c for n in nodes) > MANY:
+            statistics = scratch(self.graph.catalog.spark, statistics, "statistics")
+            rows = best(statistics, SLICES).collect()
+        else:
+            rows = best(statistics).collect()
         names = {k: (r, f, kind) for k, r, f, kind in features}
         for r in sorted(rows, key=lambda r: (r["node"], r["fid"])):
             node = by_number[r["node"]]

@@ -267,7 +267,8 @@ class GradientBoosting(DecisionTree):
         value: Column | None = None
         for n in leaves(root):
             here = F.lit(float(n.total.mean * rate))
-            value = F.when(F.col("node") == n.number, here) if value is None else value.when(F.col("node") == n.number, here)
+            own = F.col("node").isin(n.number, *n.below)
+            value = F.when(own, here) if value is None else value.when(own, here)
         return rows.withColumn("s", F.col("s") - value.otherwise(F.lit(0.0))).withColumn("node", F.lit(0))
 
 

@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from factree.operators import splits, trees
 from factree.operators.messages import Kind, MessageTree
 from factree.operators.semiring import Variance
 from factree.plans.graph import GraphError, JoinGraph
 from factree.plans.models import FULL_JOIN_DF, FULL_JOIN_JG, DecisionTree, DummyModel, GradientBoosting, RandomForest, load
+from factree.sources.shared import scratch
 from factree.streaming.scoring import score
 from pyspark.sql import functions as F
 
@@ -230,3 +232,24 @@ def test_streams_are_scored(spark, tmp_path):
     query.stop()
     assert spark.table("scored").count() == 400
     assert {round(r[0], 6) for r in spark.table("scored").select("prediction").collect()} == {round(r[0], 6) for r in rows.select(model.column()).collect()}
+
+
+@pytest.mark.parametrize("growth", ["bestfirst", "depthwise", "levelwise"])
+def test_splitting_ahead_changes_nothing(spark, growth, monkeypatch):
+    graph = star(spark, rows=200)
+    options = {"max_depth": 4, "num_leaves": 6, "learning_rate": 0.5, "n_estimators": 2, "growth": growth}
+    one = GradientBoosting(**options).fit(graph)
+    monkeypatch.setattr(trees, "AHEAD", 0)
+    two = GradientBoosting(**options).fit(graph)
+    flat = lambda m: sorted((round(v, 6), tuple(path)) for rules in m.rules() for v, path in rules)
+    assert flat(one) == flat(two) and len(one.rules()[0]) == 6
+
+
+def test_sliced_prefix_sums_equal_whole_ones(spark):
+    graph = star(spark, rows=300, nulls=True)
+    tree = MessageTree(graph)
+    fact = tree.lift().withColumn("node", F.expr("CAST(pmod(hash(a, b, d), 3) AS int)"))
+    found = scratch(spark, trees.Grower(graph, fact).statistics(), "statistics")
+    rounded = lambda df: sorted(((*r[:3], *(round(x, 4) if isinstance(x, float) else x for x in r[3:])) for r in df.select("node", "fid", "num", "txt", "ps", "pc", "g", "h", "gain").collect()), key=repr)
+    for slices in (1, 7, 512):
+        assert rounded(splits.curve(found, slices)) == rounded(splits.curve(found))
