@@ -217,8 +217,8 @@ def joined(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa
         yield pa.concat_batches(held)
 
 
-def adapted(spark: SparkSession, lattice: Lattice, counts: DataFrame) -> Lattice:
-    """The lattice with weights from expected uses over the distinct training words; a thousandth stays with the old weights."""
+def adapted(spark: SparkSession, lattice: Lattice, counts: DataFrame, start: Lattice) -> Lattice:
+    """The lattice with weights from expected uses over the distinct training words; a thousandth stays with those of start."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.pieces))
         for batch in joined(batches):
@@ -232,7 +232,7 @@ def adapted(spark: SparkSession, lattice: Lattice, counts: DataFrame) -> Lattice
         uses[r["piece"]] = r["n"]
     if not uses.sum():
         return lattice
-    old = np.exp(lattice.logp)
+    old = np.exp(start.logp)
     return Lattice(lattice.pieces, np.log(0.999 * (0.999 * uses / uses.sum() + 0.001 * old / old.sum())), lattice.log_byte)
 
 
@@ -257,9 +257,9 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None,
     ends = rows.filter("learn").count()
     seen = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = seen[0] + ends, seen[1] + (ends > 0)
-    lattice = lattice_of(vocabulary)
+    start = lattice = lattice_of(vocabulary)
     for _ in range(rounds):
-        lattice = adapted(spark, lattice, counts)
+        lattice = adapted(spark, lattice, counts, start)
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in joined(batches):
             found, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
