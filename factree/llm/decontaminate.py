@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .base import FOLD, binaries, by_batches
+from .base import FOLD, binaries, by_batches, scratch
 
 WINDOW = 10
 #: Words of items per automaton: some 100 MB in a Python worker.
@@ -115,8 +115,8 @@ def shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[tu
         yield now
 
 
-def scan(spark: SparkSession, docs: DataFrame, shard: list[tuple[object, bytes]], window: int = WINDOW) -> DataFrame:
-    """rid, doc_id, n_words, starts and ends of hit spans (in words), items (of this shard whose windows occur)."""
+def scan(spark: SparkSession, docs: DataFrame, shard: list[tuple[object, bytes]], window: int = WINDOW, row: str | None = None) -> DataFrame:
+    """rid (the column row, or made), doc_id, n_words, starts and ends of hit spans (in words), items (of this shard whose windows occur)."""
     sent = spark.sparkContext.broadcast(shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +138,7 @@ def scan(spark: SparkSession, docs: DataFrame, shard: list[tuple[object, bytes]]
                 names=["rid", "doc_id", "n_words", "starts", "ends", "items"],
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return by_batches(rows, run, "rid long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
@@ -178,30 +178,30 @@ def cleaned(
 ) -> DataFrame:
     """docs without the spans that are hit; documents whose hit share is above most_covered are dropped.
 
-    A removed span goes with the characters between its words; clean documents stay as they are."""
-    out = docs
-    for shard in list(shards(items, shard_words)):
-        out = _cut(spark, out, shard, window, most_covered)
-    return out
-
-
-def _cut(spark: SparkSession, docs: DataFrame, shard: list[tuple[object, bytes]], window: int, most_covered: float) -> DataFrame:
-    sent, place = spark.sparkContext.broadcast(shard), docs.columns.index("text")
+    Spans are judged on the input, over all shards. A removed span goes with the characters between its words; clean documents
+    stay as they are."""
+    place = docs.columns.index("text")
+    rows = scratch(spark, docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    found = [scan(spark, rows, shard, window, row="__rid").filter(F.size("starts") > 0) for shard in shards(items, shard_words)]
+    if not found:
+        return docs
+    spans = _joined(found).select(F.col("rid").alias("__hit"), "n_words", F.arrays_zip("starts", "ends").alias("spans"))
+    spans = scratch(spark, spans.select("__hit", F.col("n_words").alias("__n"), F.col("spans").alias("__spans")), "spans")
+    clean = rows.join(spans, rows["__rid"] == spans["__hit"], "left_anti").select(docs.columns)
+    hit = rows.join(spans, rows["__rid"] == spans["__hit"]).select(*docs.columns, "__n", "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, window)
         for batch in batches:
             texts, keep = [], []
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                found = words(text or b"")
-                spans, _ = matcher.hits(found)
-                keep.append(not spans or sum(b - a for a, b in spans) <= most_covered * len(found))
-                texts.append(without(text, spans) if spans else text)
-            columns = list(batch.columns)
+            for text, n, found in zip(binaries(batch.column(place)), batch.column("__n").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+                own = merged([(x["starts"], x["ends"]) for x in found])
+                keep.append(sum(b - a for a, b in own) <= most_covered * n)
+                texts.append(without(text, own))
+            columns = list(batch.columns)[:-2]
             columns[place] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
 
-    return by_batches(docs, run, docs.schema)
+    return clean.unionByName(by_batches(hit, run, docs.schema))
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -99,11 +99,11 @@ def listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
 
-def find(spark: SparkSession, docs: DataFrame, seen: int = SEEN, chance: float = CHANCE, bits: float = BITS) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, seen: int = SEEN, chance: float = CHANCE, bits: float = BITS, row: str | None = None) -> DataFrame:
     """rid, doc_id, email, ip, card, phone (arrays of hits) and term (array of start, end, value), one row per document.
 
-    A column rid of docs, if there is one, must tell rows apart; else one is made."""
-    rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id()
+    row names a column of longs that tells rows apart and becomes rid; without it one is made."""
+    rid = F.col(row) if row else F.monotonically_increasing_id()
     rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = rows.select("rid", "doc_id", "text", *[base_hits(F.col("text"), k).alias(k) for k in PATTERNS])
     base = base.withColumn("near", _contexts(F.col("text"), F.concat(*PATTERNS)))
@@ -153,7 +153,7 @@ def replaced(text: Column, spans: Column) -> Column:
 def sanitised(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id and text, with base hits generalised to their kind in brackets and terms to [term]; n_spans."""
     rows = scratch(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = find(spark, rows.select(F.col("__row").alias("rid"), "doc_id", "text"))
+    found = find(spark, rows, row="__row")
     masked = lambda k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k}]").alias("mask")))
     found = found.select(F.col("rid").alias("__rid"), F.concat(*[masked(k) for k in [*PATTERNS, "term"]]).alias("__spans"))
     rows = rows.join(found, rows["__row"] == found["__rid"])

@@ -43,6 +43,10 @@ class DigestIndex:
     def table(self) -> DataFrame | None:
         return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
 
+    def drop(self) -> None:
+        """For an index of one run; results of deduplicate() do not read it."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, rows: DataFrame) -> None:
         """Groups (digest, isnull, doc_id, rid, batch, rows) that the index lacks are added to it."""
         known = self.table()
@@ -83,6 +87,8 @@ class DigestIndex:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    stay = index.deduplicate(docs).filter("kept").select("doc_id", "digest")
+    own = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    stay = own.deduplicate(docs).filter("kept").select("doc_id", "digest")
+    if index is None:
+        own.drop()
     return rows_kept(spark, docs, stay, digest(F.col("text")))

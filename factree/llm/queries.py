@@ -36,6 +36,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     rows = index.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    index.drop()
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

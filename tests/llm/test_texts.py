@@ -67,6 +67,10 @@ def test_spans_are_cut_and_clean_documents_stay(spark):
     got = decontaminate.cleaned(spark, frame, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert got.columns == frame.columns
     assert rows(got, "doc_id", "text", "rid") == sorted([(1, f"{long} . {long}", 5), (3, long, None), (None, None, 5), (5, "", 5)], key=repr)
+    items = [(1, item), (2, "alpha w1"), (3, "w9 w10"), (4, "iota w0")]
+    many = decontaminate.cleaned(spark, frame, spark.createDataFrame(items, "item_id long, text string"), shard_words=3)
+    gone = long.replace("w9 w10", "")  # what stands around a span stays
+    assert rows(many, "doc_id", "text") == sorted([(1, f"{gone} . {gone}"), (3, gone), (None, None), (5, "")], key=repr)
     assert decontaminate.cleaned(spark, frame, frame.select(F.col("doc_id").alias("item_id"), "text").limit(0)).count() == 5
 
 
