@@ -63,7 +63,41 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_ranking, op2_substring_dedup, op3_disclosing_terms, op4_mix_sources, op5_exact_dedup, op6_benchmark_decontamination, op7_html_min_cut, op8_lattice_score, op9_license_templates, op10_ngram_jaccard)}
 
+FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+LOWERED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
 SQL = {
+    "op2_substring_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        windows AS (SELECT rid, i, sha256(array_to_string(w[i:i + 34], ' ')) AS t FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        twice AS (SELECT t FROM windows GROUP BY t HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN twice USING (t)),
+        words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid),
+        lost AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN lost USING (rid) LEFT JOIN kept USING (rid)""",
+    "op6_benchmark_decontamination": f"""
+        WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {FOLDED} AS w FROM benchmark),
+        windows AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS t FROM
+            (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, {FOLDED} AS w FROM documents),
+        places AS (SELECT rid, size, i, array_to_string(w[i:i + size - 1], ' ') AS t FROM
+            (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM windows))),
+        found AS (SELECT rid, i, size, item FROM places JOIN windows USING (size, t)),
+        hit AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS p FROM found) GROUP BY rid),
+        items AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY rid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)""",
+    "op10_ngram_jaccard": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {LOWERED} AS w FROM documents),
+        shingles AS (SELECT DISTINCT rid, doc_id, array_to_string(w[i:i + 3], ' ') || ' ' || least(len(w), 4) AS t FROM (SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+        sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+        links AS (SELECT a.rid AS a, b.rid AS b, b.doc_id FROM shingles a JOIN shingles b ON a.t = b.t JOIN sizes x ON x.rid = a.rid JOIN sizes y ON y.rid = b.rid
+            WHERE a.rid <> b.rid AND 100 * x.n >= 85 * y.n AND 100 * y.n >= 85 * x.n GROUP BY a.rid, b.rid, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+        reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least_ids AS (SELECT r.a AS rid, min(doc_id) AS component_id FROM reach r JOIN d ON d.rid = r.b GROUP BY r.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN sizes USING (rid) JOIN least_ids USING (rid)""",
     "op4_mix_sources": """
         WITH sized AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
