@@ -191,17 +191,26 @@ class Grower:
 
     # moving rows
     def _route(self, batch: Sequence[Node]) -> None:
-        """Rows of split nodes get the number of the child on their side."""
+        """Rows of split nodes get the number of the child on their side.
+
+        Splits of one relation reach the fact by one join: its rows, with a flag for each split, are joined hop by hop. Keys
+        are unique on the way, so nothing is summed and a key that very many rows of the fact have can be split."""
         target, fact = self.graph.target_relation, self.fact
+        remote: dict[str, list[int]] = {}
+        for k, n in enumerate(batch):
+            if n.found.relation != target and n.found.relation not in self.local:
+                remote.setdefault(n.found.relation, []).append(k)
+        for relation, places in remote.items():
+            flags = [batch[k].found.goes_left(F.col(f"`{batch[k].found.feature}`")).alias(f"__left{k}") for k in places]
+            fact = self._with_flags(fact, relation, flags, [f"__left{k}" for k in places])
         node = F.col("node")
         side: Column | None = None
         for k, n in enumerate(batch):
             split = n.found
-            if split.relation == target or split.relation in self.local:
-                left = split.goes_left(F.col(f"`{self.local.get(split.relation, '')}{split.feature}`"))
-            else:
-                fact = self._with_side(fact, split, f"__left{k}")
+            if split.relation in remote:
                 left = F.coalesce(F.col(f"__left{k}"), F.lit(False))
+            else:
+                left = split.goes_left(F.col(f"`{self.local.get(split.relation, '')}{split.feature}`"))
             one, two = n.children
             here = F.when(left, F.lit(one.number)).otherwise(F.lit(two.number))
             side = F.when(node == n.number, here) if side is None else side.when(node == n.number, here)
@@ -209,24 +218,22 @@ class Grower:
         moved = fact.select(*[F.col(f"`{c}`") for c in kept], side.otherwise(node).alias("node"))
         self.fact = scratch(self.graph.catalog.spark, moved, "routed")
 
-    def _with_side(self, fact: DataFrame, split: Split, name: str) -> DataFrame:
-        """fact with a column that tells whether the row of split.relation that it reaches goes left.
-
-        The keys that go left are carried from that relation to the fact, one hop after the other."""
-        graph, path = self.graph, self.graph.path(self.graph.target_relation, split.relation)
-        start = max((i for i, r in enumerate(path) if r in self.local or i == 0))
-        rows = graph.table(split.relation).filter(split.goes_left(F.col(f"`{split.feature}`")))
-        for here, there in zip(path[:start:-1], path[-2 : start - 1 if start else None : -1], strict=False):
+    def _with_flags(self, fact: DataFrame, relation: str, flags: Sequence[Column], names: Sequence[str]) -> DataFrame:
+        """fact with the flags of the row of relation that each of its rows reaches; null if it reaches none."""
+        graph, path = self.graph, self.graph.path(self.graph.target_relation, relation)
+        start = max(i for i, r in enumerate(path) if r in self.local or i == 0)
+        rows, shown = graph.table(relation), list(flags)
+        for place in range(len(path) - 1, start, -1):
+            here, there = path[place], path[place - 1]
             edge = graph.edges[there][here]
-            keys = rows.select(*[F.col(f"`{k}`").alias(f"{name}_{i}") for i, k in enumerate(edge.right_keys)]).distinct()
-            if there == path[start]:
-                prefix = self.local.get(there, "")
-                on = [F.col(f"`{prefix}{k}`").eqNullSafe(F.col(f"{name}_{i}")) for i, k in enumerate(edge.left_keys)]
-                marked = keys.withColumn(name, F.lit(True))
-                return fact.join(marked, all_of(on), "left").drop(*[f"{name}_{i}" for i in range(len(edge.left_keys))])
-            on = [F.col(f"`{k}`").eqNullSafe(F.col(f"{name}_{i}")) for i, k in enumerate(edge.left_keys)]
-            rows = graph.table(there).join(keys, all_of(on), "left_semi")
-        raise AssertionError("the path ends at the fact")
+            rows = rows.select(*[F.col(f"`{k}`").alias(f"__{here}_k{i}") for i, k in enumerate(edge.right_keys)], *shown)
+            shown = [F.col(f"`{n}`") for n in names]
+            prefix = self.local.get(there, "") if place - 1 == start else ""
+            on = [F.col(f"`{prefix}{k}`").eqNullSafe(F.col(f"`__{here}_k{i}`")) for i, k in enumerate(edge.left_keys)]
+            if place - 1 == start:
+                return fact.join(rows, all_of(on), "left")
+            rows = graph.table(there).join(rows, all_of(on), "inner")
+        raise AssertionError("a relation away from the fact has a path to it")
 
 
 def leaves(root: Node) -> list[Node]:

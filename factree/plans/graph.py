@@ -188,8 +188,14 @@ class JoinGraph:
         walk(self.target_relation, None)
 
     def not_functional(self) -> list[tuple[str, str]]:
-        """Edges away from the target along which a row may meet several; their profiles must be known."""
-        return [(a, b) for a, b in self.outward() if (self.edges[b][a].multiplicity or 1) > 1]
+        """Edges away from the target along which a row may meet several; edges without a profile get one."""
+        found = []
+        for a, b in self.outward():
+            if self.edges[b][a].multiplicity is None:
+                self.profile(a, b)
+            if self.edges[b][a].multiplicity > 1:
+                found.append((a, b))
+        return found
 
     # changes
     def replace(self, old: str, new: str) -> None:
