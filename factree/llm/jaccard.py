@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binaries, by_batches, likely, rows_kept, scratch, text_digest, with_lookup
+from .base import binaries, by_batches, larger, likely, rows_kept, scratch, text_digest, with_lookup
 from .components import components
 
 #: Members that are compared with one hub in one task.
 CHUNK = 200
 #: Bits of a parity sketch.
 SKETCH = 512
+#: Nodes of a list, or of a part of a longer one, that are paired in one task.
+LIST = 5000
 #: Pairs of a list that are looked at together.
 TILE = 1 << 18
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -160,66 +162,56 @@ def lists(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 yield _batch(["key", "sig"], signed(np.concatenate(keys)), np.repeat(signed(np.array(sigs, dtype=np.uint64)), counts))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sig = _all(batches, "key", "sig")
-        if not len(key):
-            return
-        order = np.lexsort((sig, key))
-        key, sig = key[order], sig[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
-        key, sig = key[new], sig[new]
-        same = key[1:] == key[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield _batch(["key", "sig"], key[keep], sig[keep])
+        """Of rows in order of key and sig, one for each that shares its key with another; only the last row waits for the next batch."""
+        last, paired = np.zeros((2, 0), dtype=np.int64), False
+        for batch in larger(batches, 50_000):
+            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in ("key", "sig")])], axis=1)
+            rows = rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])]
+            same = rows[0, 1:] == rows[0, :-1]
+            before = np.concatenate([[paired], same])
+            keep = before[:-1] | same
+            if keep.any():
+                yield _batch(["key", "sig"], *rows[:, :-1][:, keep])
+            last, paired = rows[:, -1:], bool(before[-1])
+        if paired:
+            yield _batch(["key", "sig"], *last)
 
     rows = by_batches(docs.select("text"), emit, "key long, sig long")
-    return by_batches(rows.repartition("key"), shared, "key long, sig long")
-
+    return by_batches(rows.repartition("key").sortWithinPartitions("key", "sig"), shared, "key long, sig long")
 
-def _all(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
-    parts = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for k in range(len(names))]
 
-
-def first_pairs(found: DataFrame) -> DataFrame:
+def first_pairs(spark: SparkSession, found: DataFrame) -> DataFrame:
     """hub, sig: each node with the hub that it shares most lists with. A list's hub is its most central node, the one
     with the most other nodes in all its lists; hubs of hubs are more central yet, so there are no cycles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sig, central = _all(batches, "key", "sig", "central")
-        if not len(key):
-            return
-        order = np.lexsort((sig, central, key))
-        key, sig = key[order], sig[order]
-        last = np.concatenate([key[1:] != key[:-1], [True]])
-        ends = np.flatnonzero(last)
-        hub = sig[ends][np.searchsorted(ends, np.arange(len(key)))]
-        pairs, n = np.unique(np.stack([hub[~last], sig[~last]]), axis=1, return_counts=True)
-        yield _batch(["hub", "sig", "lists"], pairs[0], pairs[1], n)
-
-    sizes = found.groupBy("key").agg((F.count("*") - 1).alias("others"))
-    central = found.join(sizes, "key").groupBy("sig").agg(F.sum("others").alias("central"))
-    rows = found.join(central, "sig").repartition("key").select("key", "sig", "central")
-    pairs = by_batches(rows, run, "hub long, sig long, lists long").groupBy("hub", "sig").agg(F.sum("lists").alias("lists"))
+    sizes = scratch(spark, found.groupBy("key").agg(F.count("*").alias("members")), "sizes")
+    central = with_lookup(found, sizes, "key", "members").groupBy("sig").agg(F.sum("members").alias("central"))
+    hubs = found.join(central, "sig").groupBy("key").agg(F.max(F.struct("central", "sig")).alias("top"), F.count("*").alias("members"))
+    hubs = scratch(spark, hubs.select("key", F.col("top.sig").alias("hub"), "members"), "hubs")
+    pairs = with_lookup(found, hubs, "key", "members").filter("sig <> hub").groupBy("hub", "sig").agg(F.count("*").alias("lists"))
     return pairs.groupBy("sig").agg(F.max(F.struct("lists", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "sig")
 
 
-def cross_pairs(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """hub, sig: pairs that share a list, lie in different components and may link by sizes and sketches. nodes: sig, n, root, sketch."""
+def cross_pairs(spark: SparkSession, found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """hub, sig: pairs that share a list, lie in different components and may link by sizes and sketches. nodes: sig, n, root, sketch.
+
+    A list of more than LIST nodes is dealt into parts of about that size, and each two parts meet in a task of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b.column("key").to_numpy(), b.column("sig").to_numpy(), b.column("n").to_numpy(), b.column("root").to_numpy(), _words(b.column("sketch"))) for b in batches]
+        names = ("key", "one", "two", "part", "sig", "n", "root")
+        rows = [(*(b.column(c).to_numpy() for c in names), _words(b.column("sketch"))) for b in batches]
         if not rows:
             return
-        key, sig, n, root, marks = (np.concatenate([r[k] for r in rows]) for k in range(5))
-        order = np.lexsort((n, key))
-        key, sig, n, root, marks = key[order], sig[order], n[order], root[order], marks[order]
-        ends = np.concatenate([np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        key, one, two, part, sig, n, root, marks = (np.concatenate([r[k] for r in rows]) for k in range(8))
+        order = np.lexsort((n, two, one, key))
+        key, one, two, part, sig, n, root, marks = (x[order] for x in (key, one, two, part, sig, n, root, marks))
+        ends = np.concatenate([np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1, [len(key)]])
         start, held, size = 0, [], 0
         for end in ends:
             if (root[start:end] != root[start]).any():
-                for a, b in _near(n[start:end], root[start:end], marks[start:end], percent):
-                    one, two = sig[start + a], sig[start + b]
-                    held.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
+                apart = part[start:end] if one[start] != two[start] else None
+                for a, b in _near(n[start:end], root[start:end], marks[start:end], percent, apart):
+                    left, right = sig[start + a], sig[start + b]
+                    held.append(np.stack([np.minimum(left, right), np.maximum(left, right)]))
                     size += len(a)
                 if size > 500_000:
                     held = [np.unique(np.concatenate(held, axis=1), axis=1)]
@@ -230,22 +222,31 @@ def cross_pairs(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         if size:
             yield _batch(["hub", "sig"], *np.unique(np.concatenate(held, axis=1), axis=1))
 
-    rows = found.join(nodes, "sig").select("key", "sig", "n", "root", "sketch").repartition("key")
-    return by_batches(rows, run, "hub long, sig long").distinct()
+    rows = found.join(nodes, "sig")
+    long = F.broadcast(scratch(spark, found.groupBy("key").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).filter("parts > 1"), "long"))
+    rows = rows.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "sig", "n", "root", "sketch")
+    return by_batches(rows.repartition("key", "one", "two"), run, "hub long, sig long").distinct()
 
 
 def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), SKETCH // 64)
 
 
-def _near(n: np.ndarray, root: np.ndarray, marks: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of one list, sorted by n, in tiles: sizes rise along the list, so those too large for a row are a block at its end."""
+def _near(n: np.ndarray, root: np.ndarray, marks: np.ndarray, percent: int, part: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one list, sorted by n, in tiles: sizes rise along the list, so those too large for a row are a block at its end.
+
+    With part, only pairs of different parts."""
     ends = np.searchsorted(n, n * 100 // percent, side="right")
     at = 0
     while at < len(n) - 1:
         upto = at + max(1, min(len(n) - 1 - at, TILE // max(1, int(ends[at]) - at)))
         a, b = np.arange(at, upto), np.arange(at + 1, int(ends[upto - 1]))
         may = (b[None] > a[:, None]) & (b[None] < ends[a][:, None]) & (root[b][None] != root[a][:, None])
+        if part is not None:
+            may &= part[b][None] != part[a][:, None]
         x, y = np.nonzero(may)
         if len(x):
             x, y = a[x], b[y]
@@ -301,10 +302,10 @@ def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
     same = keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["digest"] == wanted["__digest"])
     texts = scratch(spark, keyed.join(wanted.hint("merge"), same).select("sig", "text").dropDuplicates(["sig"]), "texts")
 
-    first = scratch(spark, first_pairs(found), "pairs")
+    first = scratch(spark, first_pairs(spark, found), "pairs")
     up = trees(spark, linked(spark, first, texts, size, percent))
     nodes = found.select("sig").distinct().join(classes.select("sig", "n", "sketch"), "sig").join(up, F.col("sig") == F.col("node"), "left")
-    second = scratch(spark, cross_pairs(found, nodes.select("sig", "n", "sketch", F.coalesce("root", "sig").alias("root")), percent), "pairs")
+    second = scratch(spark, cross_pairs(spark, found, nodes.select("sig", "n", "sketch", F.coalesce("root", "sig").alias("root")), percent), "pairs")
     roots = up
     if not second.isEmpty():
         more = linked(spark, second, texts, size, percent)

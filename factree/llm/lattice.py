@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binaries, by_batches, crc_mod, scratch
+from .base import binaries, by_batches, crc_mod, larger, scratch
 
 #: Words sent to the tasks with their probabilities at most, and the most bytes that one has there.
 HEAD, HEAD_BYTES = 150_000, 64
@@ -205,23 +205,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return by_batches(docs.select("learn", "text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def joined(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Small batches put together: the lattice takes words of equal length at once."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 def adapted(spark: SparkSession, lattice: Lattice, counts: DataFrame, start: Lattice) -> Lattice:
     """The lattice with weights from expected uses over the distinct training words; a thousandth stays with those of start."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.pieces))
-        for batch in joined(batches):
+        for batch in larger(batches):
             total += lattice.expected(batch.column("word").to_pylist())
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.float64())], names=["piece", "n"])
@@ -261,7 +249,7 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None,
     for _ in range(rounds):
         lattice = adapted(spark, lattice, counts, start)
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in joined(batches):
+        for batch in larger(batches):
             found, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
             mixed = np.log10((c + max(v, 1) * np.exp(np.maximum(lattice.log_probability(found), -600.0))) / (n + max(v, 1)))
             base = np.log10((c + 1) / (n + v + 1))

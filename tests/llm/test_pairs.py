@@ -16,6 +16,12 @@ def test_near_classes_are_the_components_of_all_pairs(spark, corpus, documents,
     assert got.filter("keep").count() == len({c for d, n, c in want})
 
 
+def test_long_lists_are_paired_in_parts(spark, corpus, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", 7)
+    got = jaccard.near_classes(spark, documents)
+    assert rows(got, "doc_id", "n", "component_id") == sorted(brute.components([r[:2] for r in corpus]), key=repr)
+
+
 def test_one_row_of_each_component_stays(spark, corpus, documents):
     extra = documents.withColumn("n", F.lit(1)).withColumn("sig", F.lit("clash")).withColumn("keep", F.lit(None).cast("string"))
     again = extra.unionByName(extra.filter("doc_id = 3"))
