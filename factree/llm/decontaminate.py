@@ -165,7 +165,12 @@ def n_hit(starts, ends):
 
 def report(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document."""
-    found = [scan(spark, docs, shard, window) for shard in shards(items, shard_words)] or [scan(spark, docs, [], window)]
+    parts = list(shards(items, shard_words)) or [[]]
+    row = None
+    if len(parts) > 1:  # the scans' rows must bear the same numbers
+        row = "__rid"
+        docs = scratch(spark, docs.select("doc_id", "text", F.monotonically_increasing_id().alias(row)), "rows")
+    found = [scan(spark, docs, shard, window, row) for shard in parts]
     rows = _joined(found).withColumn("n_hit", n_hit(F.col("starts"), F.col("ends")))
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
