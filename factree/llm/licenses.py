@@ -108,14 +108,6 @@ class Scanner:
     def __init__(self, templates: dict[str, str] | None = None):
         self.templates = [Template(k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
         self.phrases = [(tuple(k.encode().split()), v) for k, v in PHRASES.items()]
-        self.by_word: dict[bytes, list[Template]] = {}
-        self.anywhere: list[Template] = []
-        for t in self.templates:
-            words, pattern = t.first()
-            if pattern:
-                self.anywhere.append(t)
-            for w in words:
-                self.by_word.setdefault(w, []).append(t)
         # a text without any mandatory word of a template can't match it
         self.needs = {t.label: self._rarest(t) for t in self.templates}
 
