@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from factree.operators.messages import Kind, MessageTree
 from factree.operators.semiring import Variance
 from factree.plans.graph import GraphError, JoinGraph
 from factree.plans.models import FULL_JOIN_DF, FULL_JOIN_JG, DecisionTree, DummyModel, GradientBoosting, RandomForest, load
+from factree.plans.rename import free_name, history, without_reserved
 from factree.sources.shared import scratch
 from factree.streaming.scoring import score
 from pyspark.sql import functions as F
@@ -104,6 +106,9 @@ def test_reserved_names_change_nothing(spark):
     model = DecisionTree(max_depth=3).fit(two)
     assert model.compute_rmse(two.full_join())[0] == pytest.approx(a, abs=1e-9)
     assert two.features["R"] == {"c": "NUM"} and two.target == "s"
+    back = without_reserved(two)[1]
+    assert {(x["new"], x["old"]) for x in json.loads(history(back))} == {("reserved_c", "c"), ("reserved_s", "s")}
+    assert free_name("s", ["S", "reserved_s"]) == "reserved_reserved_s"
 
 
 def test_ways_to_predict(spark):
