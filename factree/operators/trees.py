@@ -66,6 +66,7 @@ class Grower:
     growth: str = "bestfirst"
     local: dict[str, str] = field(default_factory=dict)  # relation -> prefix of its features on the fact itself
     number: int = 0
+    rows_needed: bool = True  # that fact tells each row's leaf in the end
 
     def grow(self, total: Variance) -> Node:
         """A node's best split does not depend on the order in which nodes are split, so whole levels are split first, one
@@ -79,7 +80,8 @@ class Grower:
             level = [root]
             while level := [n for n in level if n.gain > 0]:
                 children = [c for n in level for c in self._split(n)]
-                self._route(level)
+                if self.rows_needed or children[0].depth < self.max_depth:
+                    self._route(level)
                 self._evaluate(children)
                 level = children
         self._choose(root, ahead)
