@@ -1,12 +1,16 @@
 """Personal data by fixed patterns, and terms that disclose it by corpus co-occurrence; DataFrame operations only.
 
 Base hits are e-mail addresses, IP addresses, card numbers and phone numbers. Their values are the protected entities.
-A word within NEAR words of an entity is a candidate term. Over all documents of the corpus, with n documents in which
-the term occurs and k in which it stands near the entity, the chance of the entity given the term is k / n, and the
-term reveals log2(k * N / (n * n_e)) bits about which of the N documents' entities is meant (n_e documents have the entity). Terms
-that occur with the entity in at least SEEN documents and exceed both thresholds are spans of kind "term" wherever they
-stand near that entity; documents without base hits never get any. sanitised() replaces base hits by their kind and
-removes or generalises terms.
+So are what they are part of: an address's domain, an IP address's first three numbers, a card's first six digits and a
+phone number but its last four. Every word of a document with an entity is a candidate term, wherever it stands. Over
+all documents of the corpus, with n documents in which the term occurs and k in which both occur, the chance of the entity
+given the term is k / n, and the term reveals log2(k * N / (n * n_e)) bits about which of the N documents' entities is
+meant (n_e documents have the entity). Terms that reach both thresholds for an entity of a document are spans of kind "term"
+wherever they stand there, however few documents have the entity: a word that only its document has tells it for certain.
+Documents without base hits never get any. sanitised() replaces base hits by their kind and removes or generalises terms.
+
+Entities that stand in the same documents are counted once, by a hash of 64 bits of their documents. As k is at most n
+and n_e, terms of more than n_e / CHANCE documents and entities of more than N / 2^BITS can't pass and are left out before.
 
 Patterns are written so that Java's matcher neither backtracks nor recurses on long runs: a run is entered at its
 begin (or where the last match ended) and taken whole, which finds the same leftmost matches.
@@ -29,16 +33,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words on each side of an entity that are its terms, and the characters that are looked at for them.
-NEAR, REACH = 4, 96
-#: Least documents with term and entity, least chance of the entity given the term, least bits.
-SEEN, CHANCE, BITS = 3, 0.5, 4.0
+#: Least chance of the entity given the term, least bits.
+CHANCE, BITS = 0.5, 4.0
 #: Characters at the ends of a word that do not belong to the term.
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
-def hits(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>>: matches with their places in code points."""
+def hits(text: Column, pattern: str, keep=None) -> Column:
+    """array<struct<start, end, value>>: matches (those that keep takes) with their places in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
@@ -46,7 +48,8 @@ def hits(text: Column, pattern: str) -> Column:
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+        out = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))))
+        return F.struct(end.alias("at"), (F.when(keep(x["value"]), out).otherwise(acc["out"]) if keep else out).alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(start["out"])
@@ -74,57 +77,69 @@ def term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, EDGE, ""))
 
 
-def _contexts(text: Column, base: Column) -> Column:
-    """array<struct<entity, term, start, end>>: words near each base hit that touch no base hit."""
+def terms(text: Column) -> Column:
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), term)
+    return F.array_distinct(F.filter(words, lambda t: F.length(t) >= 3))
+
+
+def wider(kind: str, value: Column) -> Column:
+    """What the value is part of."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    if kind == "email":
+        return F.lower(F.substring_index(value, "@", -1))
+    if kind == "ip":
+        return F.substring_index(value, ".", 3)
+    return F.substring(digits, F.lit(1), F.lit(6) if kind == "card" else F.length(digits) - 4)
+
 
-    def words(part: Column, offset: Column) -> Column:
-        return F.transform(hits(part, WORD), lambda w: F.struct((w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"), w["value"].alias("value")))
+def _entities(kind: str) -> Column:
+    both = lambda v: F.array(F.concat(F.lit(f"{kind}:"), v), F.concat(F.lit(f"{kind} of:"), wider(kind, v)))
+    return F.flatten(F.transform(F.col(kind), lambda h: both(h["value"])))
 
-    def near(h: Column) -> Column:
-        left = F.greatest(h["start"] - REACH, F.lit(0))
-        before = words(F.substring(text, left + 1, h["start"] - left), left)
-        after = words(F.substring(text, h["end"] + 1, F.lit(REACH)), h["end"])
-        before = F.filter(before, lambda w: (w["start"] > left) | (left == 0))  # else it may be cut
-        after = F.filter(after, lambda w: (w["end"] < h["end"] + REACH) & (w["start"] > h["end"]))
-        before = F.filter(before, lambda w: w["end"] < h["start"])
-        both = F.concat(F.slice(F.reverse(before), 1, NEAR), F.slice(after, 1, NEAR))
-        clear = F.filter(both, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        return F.transform(clear, lambda w: F.struct(h["value"].alias("entity"), term(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
 
-    found = F.filter(F.flatten(F.transform(base, near)), lambda w: F.length(w["term"]) >= 3)
-    return F.when(F.size(base) > 0, found).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
+def _places(text: Column, marked: Column, base: Column) -> Column:
+    """array<struct<start, end, value>>: words whose terms are marked and that touch no base hit."""
+    found = hits(text, WORD, lambda w: F.array_contains(marked, term(w)))
+    clear = F.filter(found, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    return F.transform(clear, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), term(w["value"]).alias("value")))
 
 
 def listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
 
-def find(spark: SparkSession, docs: DataFrame, seen: int = SEEN, chance: float = CHANCE, bits: float = BITS, row: str | None = None) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, chance: float = CHANCE, bits: float = BITS, row: str | None = None) -> DataFrame:
     """rid, doc_id, email, ip, card, phone (arrays of hits) and term (array of start, end, value), one row per document.
 
     row names a column of longs that tells rows apart and becomes rid; without it one is made."""
     rid = F.col(row) if row else F.monotonically_increasing_id()
     rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = rows.select("rid", "doc_id", "text", *[base_hits(F.col("text"), k).alias(k) for k in PATTERNS])
-    base = base.withColumn("near", _contexts(F.col("text"), F.concat(*PATTERNS)))
-    base = scratch(spark, base.select("rid", "doc_id", *PATTERNS, "near"), "hits")
-
-    near = base.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    together = near.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("k")).filter(F.col("k") >= seen)
-    entities = base.select("rid", F.explode(F.concat(*PATTERNS)).alias("x")).select("rid", F.col("x.value").alias("entity")).distinct()
-    entities = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), lambda w: F.lower(F.regexp_replace(w, EDGE, ""))))
-    frequency = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    total = base.count()
-    told = together.join(entities, "entity").join(frequency, "term")
+    base = base.withColumn("text", F.when(F.size(F.concat(*PATTERNS)) > 0, F.col("text")))
+    base = scratch(spark, base, "hits")
+    total, with_hits = base.count(), base.filter("text is not null")
+
+    entities = with_hits.select("rid", F.explode(F.array_distinct(F.concat(*[_entities(k) for k in PATTERNS]))).alias("entity"))
+    sets = entities.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("rid")).alias("rids"))
+    sets = scratch(spark, sets.filter(F.col("n_e") * F.lit(2.0**bits) <= total), "entities")
+    sets = with_lookup(entities, sets, "entity", "n_e").filter("n_e is not null").select("rid", "rids", "n_e").distinct()
+
+    frequency = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    frequency = scratch(spark, frequency, "terms")
+    words = with_lookup(with_hits.select("rid", F.explode(terms(F.col("text"))).alias("term")), frequency, "term", "n")
+    pairs = words.join(sets, "rid").filter(F.col("n") * chance <= F.col("n_e"))
+    pairs = scratch(spark, pairs.select("rid", F.xxhash64("rids", "n_e", "term").alias("pair"), "rids", "n_e", "term", "n"), "pairs")
+
+    together = pairs.groupBy("pair", "rids", "n_e", "term", "n").agg(F.count("*").alias("k"))
     reveals = F.log2(F.col("k") * F.lit(float(max(total, 1))) / (F.col("n") * F.col("n_e")))
-    told = told.filter((F.col("k") >= chance * F.col("n")) & (reveals >= bits))
-    told = scratch(spark, told.select(F.xxhash64("entity", "term").alias("pair"), F.col("entity").alias("e"), F.col("term").alias("t"), "k"), "told")
-    pairs = near.withColumn("pair", F.xxhash64("entity", "term"))
-    marked = with_lookup(pairs, told, "pair", "k").filter((F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
-    marked = marked.select("rid", F.struct("start", "end", F.col("term").alias("value")).alias("s")).groupBy("rid").agg(F.array_sort(F.collect_set("s")).alias("term"))
+    told = together.filter((F.col("k") >= chance * F.col("n")) & (reveals >= bits))
+    told = scratch(spark, told.select("pair", F.col("rids").alias("e"), F.col("term").alias("t"), "k"), "told")
+    marked = with_lookup(pairs.select("rid", "pair", "rids", "term"), told, "pair", "k").filter((F.col("rids") == F.col("e")) & (F.col("term") == F.col("t")))
+    marked = marked.groupBy("rid").agg(F.collect_set("term").alias("marked"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return base.drop("near").join(marked, "rid", "left").withColumn("term", F.coalesce("term", none))
+    places = _places(F.col("text"), F.col("marked"), F.concat(*PATTERNS))
+    found = base.join(marked, "rid", "left").withColumn("term", F.when(F.col("marked").isNotNull(), places).otherwise(none))
+    return found.drop("text", "marked")
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -213,6 +213,18 @@ def test_terms_that_tell_an_entity_are_found_only_near_it(spark):
     assert disclosure.report(spark, frame.limit(0)).count() == 0
 
 
+def test_terms_are_found_for_entities_in_one_or_two_documents(spark):
+    filler = "the of and to in that with for from this " * 10
+    docs = [(0, f"Quuxley {filler} +49 30 1234567 {filler}"), (1, f"Vexmoor, {filler} 10.1.2.3 {filler}"), (2, f"{filler} 10.1.2.3 {filler} vexmoor")]
+    docs += [(3, f"{filler} a@zorb.example {filler} (Zorblax)"), (4, f"zorblax {filler} b@ZORB.example {filler}")]
+    docs += [(10 + k, f"{filler} other{k % 50}") for k in range(150)]
+    got = {r["doc_id"]: r for r in disclosure.report(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, word in enumerate(["Quuxley", "Vexmoor,", "vexmoor", "(Zorblax)", "zorblax"]):
+        at = docs[k][1].index(word)
+        assert [s for s in got[k]["spans"].split(",") if s.startswith("term")] == [f"term:{at}:{at + len(word)}"]
+    assert not any(got[d]["n_term"] for d, _ in docs[5:])
+
+
 # mixing
 
 
