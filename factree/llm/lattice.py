@@ -251,7 +251,9 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None,
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in larger(batches):
             found, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            mixed = np.log10((c + max(v, 1) * np.exp(np.maximum(lattice.log_probability(found), -600.0))) / (n + max(v, 1)))
+            with np.errstate(divide="ignore"):  # log 0 is -inf: the lattice alone
+                mixed = np.logaddexp(np.log(c), math.log(max(v, 1)) + lattice.log_probability(found))
+            mixed = (mixed - math.log(n + max(v, 1))) / math.log(10)
             base = np.log10((c + 1) / (n + v + 1))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(base), pa.array(mixed)], names=["word", "c", "base", "mixed"])
 

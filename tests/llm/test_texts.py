@@ -142,6 +142,16 @@ def test_lattice_scores_equal_base_and_are_probabilities(spark, corpus, document
     assert lattice.score(spark, documents.limit(0), VOCABULARY).count() == 0
 
 
+def test_long_unseen_words_have_their_whole_probability(spark):
+    words = ["漢字" * 40, "漢字" * 1500, "qx" * 2500]
+    docs = spark.createDataFrame([(0, "some words to learn from")] + [(k, w) for k, w in enumerate(words, 1)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lattice.score(spark, docs, VOCABULARY, F.col("doc_id") > 0, rounds=0).collect()}
+    model, n, v = lattice.lattice_of(VOCABULARY), 6, 6  # five words and an end
+    for k, w in enumerate(words, 1):
+        word = (math.log(v) + model._single(w) - math.log(n + v)) / math.log(10)
+        assert got[k] == pytest.approx(word + math.log10(1 / (n + v)), rel=1e-9)
+
+
 def test_words_outside_the_head_score_alike(spark, corpus, documents, monkeypatch):
     want = rows(lattice.score(spark, documents, VOCABULARY).select("doc_id", F.round("score", 5).alias("s")), "doc_id", "s")
     monkeypatch.setattr(lattice.head_count, "__defaults__", (20,))
