@@ -104,25 +104,43 @@ class Lattice:
         return forward, arcs
 
     def _single(self, word: str) -> float:
-        text = START + word
+        return self._forward_single(START + word)[-1]
+
+    def _ending(self, text: str, end: int) -> Iterator[tuple[int, int, float]]:
+        """(start, id or -1, log weight) of the arcs to end."""
+        for start in range(max(0, end - self.longest), end):
+            k = self.number.get(text[start:end])
+            if k is not None:
+                yield start, k, self.logp[k]
+            elif end - start == 1:
+                yield start, -1, len(text[start].encode()) * self.log_byte
+
+    def _forward_single(self, text: str) -> list[float]:
         forward = [0.0] + [-math.inf] * len(text)
         for end in range(1, len(text) + 1):
-            terms = []
-            for start in range(max(0, end - self.longest), end):
-                k = self.number.get(text[start:end])
-                if k is not None:
-                    terms.append(forward[start] + self.logp[k])
-                elif end - start == 1:
-                    terms.append(forward[start] + len(text[start].encode()) * self.log_byte)
+            terms = [forward[start] + weight for start, _, weight in self._ending(text, end)]
             most = max(terms)
             forward[end] = most + math.log(sum(math.exp(t - most) for t in terms)) if most > -math.inf else most
-        return forward[-1]
+        return forward
+
+    def _add_uses(self, word: str, total: np.ndarray) -> None:
+        """Adds a long word's expected uses to total; an end's backward sum is whole once all later ends are done."""
+        text = START + word
+        forward = self._forward_single(text)
+        backward = [-math.inf] * len(text) + [0.0]
+        for end in range(len(text), 0, -1):
+            for start, k, weight in self._ending(text, end):
+                x, y = backward[start], backward[end] + weight
+                backward[start] = max(x, y) + math.log1p(math.exp(-abs(x - y))) if x > -math.inf else y
+                if k >= 0:
+                    total[k] += math.exp(forward[start] + y - forward[-1])
 
     def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece over the words, once each; words of more than LONG characters are left to their characters."""
+        """Expected uses of each piece over the words, once each."""
         total = np.zeros(len(self.pieces))
-        for _, codes in grouped(words):
+        for at, codes in grouped(words):
             if codes is None:
+                self._add_uses(words[at[0]].decode("utf-8", "replace"), total)
                 continue
             forward, arcs = self._forward(codes)
             backward = np.full(forward.shape, -np.inf)

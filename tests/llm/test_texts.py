@@ -131,6 +131,17 @@ def test_lattice_sums_all_segmentations():
     assert uses @ [len(x) for x in pieces] == pytest.approx(3)  # each segmentation covers the word
 
 
+def test_long_words_are_counted_like_short_ones(monkeypatch):
+    model = lattice.lattice_of(VOCABULARY)
+    words = [w.encode() for w in ("donaudampfschifffahrt", "unspacedsentenceofmanywords", "xé漢字", "a")]
+    want = model.expected(words)
+    monkeypatch.setattr(lattice, "LONG", 0)
+    assert np.allclose(model.expected(words), want, rtol=1e-9, atol=1e-12)
+    monkeypatch.undo()
+    text = "unspacedsentence" * 200
+    assert model.expected([text.encode()]) @ [len(p) for p in model.pieces] == pytest.approx(len(text) + 1)
+
+
 def test_lattice_scores_equal_base_and_are_probabilities(spark, corpus, documents):
     got = lattice.score(spark, documents, VOCABULARY).collect()
     want = {d: r for d, *r in brute.base_scores([r[:2] for r in corpus])}
