@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[tuple[str, str], str] = {}
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the warehouse; a temporary folder in local mode only."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
-        found = spark.conf.get("spark.sql.warehouse.dir")
+
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, on the driver's JVM."""
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode, and an error on a cluster, whose machines would
+    not see each other's folders."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="factree-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; what is left in it goes when the driver's JVM ends."""
+    key = (shared_root(spark), spark.sparkContext.applicationId)
+    if key not in _folders:
+        folder = f"{key[0]}/factree-{key[1]}"
+        path, files = _path(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders[key] = folder
+    return _folders[key]
+
+
 def scratch(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*written: DataFrame | None) -> None:
+    """Deletes what scratch() wrote for these frames; frames of other origin stay. For tables that nothing lazy reads any more."""
+    for df in written:
+        path = getattr(df, "_scratch", None)
+        if path is not None:
+            delete(df.sparkSession, path)
+            df._scratch = None
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found, files = _path(spark, path)
+    files.delete(found, True)
