@@ -1,4 +1,7 @@
-"""What the operators share: table reading, shared scratch tables, word rules, Arrow helpers."""
+"""What the operators share: table reading, shared scratch tables, word rules, Arrow helpers.
+
+Columns that the operators add to a table that they give back have names from fresh(), so a table's own columns, whatever they
+are called, come back as they were."""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import scratch
+from ..sources.shared import release, scratch
 
 #: Characters that part words in most operators: space and \t to \r.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -66,10 +69,12 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def likely(rows: DataFrame, column, wanted: DataFrame, hashed: str, buckets: int = 2**20) -> DataFrame:
-    """The rows whose hash falls into a bucket of a wanted hash: a broadcast of at most `buckets` numbers, so that an exact join moves less."""
-    few = wanted.select(F.pmod(F.col(hashed), F.lit(buckets)).cast("int").alias("__bucket")).distinct()
-    return rows.join(F.broadcast(few), F.pmod(column, F.lit(buckets)).cast("int") == few["__bucket"], "left_semi")
+def likely(rows: DataFrame, column, wanted: DataFrame, hashed: str, how: str = "left_semi", buckets: int = 2**20) -> DataFrame:
+    """The rows whose hash falls into a bucket of a wanted hash (left_anti: into none): a broadcast of at most `buckets` numbers,
+    so that an exact join moves less. Where wanted hashes fill all buckets, the exact join does all the work."""
+    name = fresh("bucket", rows)
+    few = wanted.select(F.pmod(F.col(hashed), F.lit(buckets)).cast("int").alias(name)).distinct()
+    return rows.join(F.broadcast(few), F.pmod(column, F.lit(buckets)).cast("int") == few[name], how)
 
 
 def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -82,13 +87,28 @@ def crc_mod(column, n: int):
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores in front as it takes to be no column of the frames (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """docs as a written table with a column of distinct longs: whatever reads it sees the same numbers."""
+    return scratch(spark, docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def with_lookup(rows: DataFrame, lookup: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
     """rows left-joined with lookup, which has one row per key and in `weight` how many rows have it.
 
     Keys that hold more than one in `most` of all rows are at most `most` keys: they go by broadcast, so no task gets
     all rows of a hot key; the others are joined by shuffle. rows and lookup should be cheap to read twice."""
-    total = lookup.agg(F.sum(weight)).first()[0] or 0
-    least = max(64, -(-total // most))
+    found = lookup.agg(F.sum(weight), F.max(weight)).first()
+    least = max(64, -(-(found[0] or 0) // most))
+    if (found[1] or 0) <= least:
+        return rows.join(lookup.hint("merge"), key, "left")
     hot = F.broadcast(lookup.filter(F.col(weight) > least))
     tried = rows.join(hot, key, "left")
     rest = tried.filter(F.col(weight).isNull()).select(rows.columns).join(lookup.filter(F.col(weight) <= least).hint("merge"), key, "left")
@@ -100,16 +120,29 @@ def text_digest(text):
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def rows_kept(spark: SparkSession, docs: DataFrame, stay: DataFrame, digest) -> DataFrame:
-    """The rows of docs whose (doc_id, digest) is in stay (doc_id, digest); of rows equal in both, one (least other columns)."""
-    keyed = docs.withColumn("__digest", digest)
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__stay"))
-    found = keyed.join(stay.hint("merge"), keyed["doc_id"].cast("long").eqNullSafe(stay["__id"]) & (keyed["__digest"] == stay["__stay"]), "left_semi")
-    twice = keyed.groupBy("doc_id", "__digest").agg(F.count("*").alias("__n")).filter("__n > 1")
-    twice = scratch(spark, twice.select(F.col("doc_id").alias("__id2"), F.col("__digest").alias("__twice")), "twice")
-    if twice.isEmpty():
-        return found.select(docs.columns)
-    again = found["doc_id"].eqNullSafe(twice["__id2"]) & (found["__digest"] == twice["__twice"])
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = found.join(twice, again, "left_semi").groupBy("doc_id", "__digest").agg(F.min(F.struct(*rest)).alias("__row"))
-    return found.join(twice, again, "left_anti").select(docs.columns).unionByName(one.select("doc_id", "__row.*").select(docs.columns))
+def row_key(doc_id, digest):
+    """One binary value for an id (null is one too) and a digest of 32 bytes."""
+    return F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")).cast("binary"), digest)
+
+
+def rows_kept(spark: SparkSession, docs: DataFrame, decided: DataFrame, digest) -> DataFrame:
+    """The rows of docs that decided (doc_id, digest, keep; a row for each row of docs) keeps, with all their columns; of rows
+    equal in doc_id and digest one at most, the least by its columns as JSON.
+
+    Only keys that lose a row are looked up. All other rows pass without a shuffle, but for those that fall into a bucket
+    with such a key (see likely)."""
+    key, gone = fresh("key", docs), fresh("keep", docs)
+    keys = decided.select(row_key(F.col("doc_id"), F.col("digest")).alias(key), "keep").groupBy(key).agg(F.max("keep").alias(gone), F.count("*").alias("rows_of_key"))
+    weight = fresh("rows_of_key", docs)
+    keys = scratch(spark, keys.filter(f"NOT `{gone}` OR rows_of_key > 1").withColumnRenamed("rows_of_key", weight), "keys")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), digest))
+    hashed = keys.withColumn(fresh("hash", docs), F.xxhash64(key))
+    sure = likely(keyed, F.xxhash64(key), hashed, hashed.columns[-1], "left_anti").select(docs.columns)
+    maybe = likely(keyed, F.xxhash64(key), hashed, hashed.columns[-1])
+    found = with_lookup(maybe, keys, key, weight)
+    out = sure.unionByName(found.filter(F.col(weight).isNull()).select(docs.columns))
+    if keys.filter(F.col(gone)).isEmpty():
+        return out
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = found.filter(F.col(gone)).groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(gone))
+    return out.unionByName(one.select(f"`{gone}`.*").select(docs.columns))

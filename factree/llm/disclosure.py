@@ -2,21 +2,24 @@
 
 Base hits are e-mail addresses, IP addresses, card numbers and phone numbers. Their values are the protected entities.
 So are what they are part of: an address's domain, an IP address's first three numbers, a card's first six digits and a
-phone number but its last four. Every word of a document with an entity is a candidate term, wherever it stands. Over
-all documents of the corpus, with n documents in which the term occurs and k in which both occur, the chance of the entity
-given the term is k / n, and the term reveals log2(k * N / (n * n_e)) bits about which of the N documents' entities is
-meant (n_e documents have the entity). Terms that reach both thresholds for an entity of a document are spans of kind "term"
-wherever they stand there, however few documents have the entity: a word that only its document has tells it for certain.
-Documents without base hits never get any. sanitised() replaces base hits by their kind and removes or generalises terms.
+phone number but its last four. Every word (its edges without marks, lower-cased, of TERM characters or more) of a document with an
+entity is a candidate term, wherever it stands. Over all documents of the corpus, with n documents in which the term occurs and k
+in which both occur, the chance of the entity given the term is k / n, and the term reveals log2(k * N / (n * n_e)) bits about which
+of the N documents' entities is meant (n_e documents have the entity). Terms that reach both thresholds for an entity are spans of
+kind "term" in every document that has the term, with or without the entity itself: they tell it there just as much.
+A word that only its document has tells an entity of that document for certain. sanitised() generalises base hits to their kind,
+removes terms whose chance is REMOVE or more and generalises the others to the shape of the word.
 
 Entities that stand in the same documents are counted once, by a hash of 64 bits of their documents. As k is at most n
 and n_e, terms of more than n_e / CHANCE documents and entities of more than N / 2^BITS can't pass and are left out before.
+Only terms with k < n can stand outside the entity's documents; they alone are looked for there.
 
 Patterns are written so that Java's matcher neither backtracks nor recurses on long runs: a run is entered at its
 begin (or where the last match ended) and taken whole, which finds the same leftmost matches.
 
 Defined results: a null text counts as empty: no hits, digest of the empty string, no spans; repeated rows are separate
-documents; null ids pass through; an empty table gives no rows. Documents' words are counted whole.
+documents; null ids pass through; an empty table gives no rows. Documents' words are counted whole. find() and report() look at no
+other columns; sanitised() hands them on and adds n_spans, called _n_spans if the table has a column of that name.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WORD, scratch, with_lookup
+from .base import WORD, fresh, likely, numbered, release, scratch, with_lookup
 
 #: Kinds in the order of the output, each as a pattern that takes what the plain one (see README) takes.
 PATTERNS = {
@@ -35,6 +38,10 @@ PATTERNS = {
 }
 #: Least chance of the entity given the term, least bits.
 CHANCE, BITS = 0.5, 4.0
+#: Terms of this chance or more are removed, others generalised.
+REMOVE = 0.9
+#: Least characters of a term.
+TERM = 3
 #: Characters at the ends of a word that do not belong to the term.
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
@@ -79,7 +86,7 @@ def term(word: Column) -> Column:
 
 def terms(text: Column) -> Column:
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), term)
-    return F.array_distinct(F.filter(words, lambda t: F.length(t) >= 3))
+    return F.array_distinct(F.filter(words, lambda t: F.length(t) >= TERM))
 
 
 def wider(kind: str, value: Column) -> Column:
@@ -97,11 +104,15 @@ def _entities(kind: str) -> Column:
     return F.flatten(F.transform(F.col(kind), lambda h: both(h["value"])))
 
 
+NO_TERMS = "array<struct<start:int,end:int,value:string,chance:double>>"
+
+
 def _places(text: Column, marked: Column, base: Column) -> Column:
-    """array<struct<start, end, value>>: words whose terms are marked and that touch no base hit."""
-    found = hits(text, WORD, lambda w: F.array_contains(marked, term(w)))
+    """NO_TERMS with the words whose terms marked (term -> chance) has and that touch no base hit."""
+    found = hits(text, WORD, lambda w: F.map_contains_key(marked, term(w)))
     clear = F.filter(found, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return F.transform(clear, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), term(w["value"]).alias("value")))
+    own = lambda w: F.element_at(marked, term(w["value"]))
+    return F.transform(clear, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"), own(w).alias("chance")))
 
 
 def listed(kind: str, spans: Column) -> Column:
@@ -109,37 +120,42 @@ def listed(kind: str, spans: Column) -> Column:
 
 
 def find(spark: SparkSession, docs: DataFrame, chance: float = CHANCE, bits: float = BITS, row: str | None = None) -> DataFrame:
-    """rid, doc_id, email, ip, card, phone (arrays of hits) and term (array of start, end, value), one row per document.
+    """rid, doc_id, email, ip, card, phone (arrays of hits) and term (NO_TERMS), one row per document.
 
     row names a column of longs that tells rows apart and becomes rid; without it one is made."""
-    rid = F.col(row) if row else F.monotonically_increasing_id()
+    rid = F.col(f"`{row}`") if row else F.monotonically_increasing_id()
     rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = rows.select("rid", "doc_id", "text", *[base_hits(F.col("text"), k).alias(k) for k in PATTERNS])
-    base = base.withColumn("text", F.when(F.size(F.concat(*PATTERNS)) > 0, F.col("text")))
-    base = scratch(spark, base, "hits")
-    total, with_hits = base.count(), base.filter("text is not null")
+    base = scratch(spark, rows.select("*", *[base_hits(F.col("text"), k).alias(k) for k in PATTERNS]), "hits")
+    total, with_hits = base.count(), base.filter(F.size(F.concat(*PATTERNS)) > 0)
 
     entities = with_hits.select("rid", F.explode(F.array_distinct(F.concat(*[_entities(k) for k in PATTERNS]))).alias("entity"))
     sets = entities.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("rid")).alias("rids"))
     sets = scratch(spark, sets.filter(F.col("n_e") * F.lit(2.0**bits) <= total), "entities")
     sets = with_lookup(entities, sets, "entity", "n_e").filter("n_e is not null").select("rid", "rids", "n_e").distinct()
 
-    frequency = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    frequency = scratch(spark, frequency, "terms")
-    words = with_lookup(with_hits.select("rid", F.explode(terms(F.col("text"))).alias("term")), frequency, "term", "n")
-    pairs = words.join(sets, "rid").filter(F.col("n") * chance <= F.col("n_e"))
+    terms_of = lambda found: found.select("rid", F.explode(terms(F.col("text"))).alias("term"))
+    frequency = scratch(spark, terms_of(base).groupBy("term").agg(F.count("*").alias("n")), "terms")
+    pairs = with_lookup(terms_of(with_hits), frequency, "term", "n").join(sets, "rid").filter(F.col("n") * chance <= F.col("n_e"))
     pairs = scratch(spark, pairs.select("rid", F.xxhash64("rids", "n_e", "term").alias("pair"), "rids", "n_e", "term", "n"), "pairs")
 
     together = pairs.groupBy("pair", "rids", "n_e", "term", "n").agg(F.count("*").alias("k"))
     reveals = F.log2(F.col("k") * F.lit(float(max(total, 1))) / (F.col("n") * F.col("n_e")))
-    told = together.filter((F.col("k") >= chance * F.col("n")) & (reveals >= bits))
-    told = scratch(spark, told.select("pair", F.col("rids").alias("e"), F.col("term").alias("t"), "k"), "told")
-    marked = with_lookup(pairs.select("rid", "pair", "rids", "term"), told, "pair", "k").filter((F.col("rids") == F.col("e")) & (F.col("term") == F.col("t")))
-    marked = marked.groupBy("rid").agg(F.collect_set("term").alias("marked"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    told = together.filter((F.col("k") >= chance * F.col("n")) & (reveals >= bits)).withColumn("chance", F.col("k") / F.col("n"))
+    told = scratch(spark, told.select("pair", F.col("rids").alias("e"), F.col("term").alias("t"), "k", "n", "chance"), "told")
+    marks = with_lookup(pairs.select("rid", "pair", "rids", "term"), told, "pair", "k").filter((F.col("rids") == F.col("e")) & (F.col("term") == F.col("t")))
+    marks = marks.select("rid", "term", "chance")
+    loose = told.filter("k < n").groupBy(F.col("t").alias("term")).agg(F.first("n").alias("n"), F.max("chance").alias("chance"))
+    loose = scratch(spark, loose.withColumn("hash", F.xxhash64("term")), "loose")
+    if not loose.isEmpty():
+        words = likely(terms_of(base), F.xxhash64("term"), loose, "hash")
+        marks = marks.unionByName(with_lookup(words, loose, "term", "n").filter("n is not null").select("rid", "term", "chance"))
+    marked = marks.groupBy("rid", "term").agg(F.max("chance").alias("chance")).groupBy("rid")
+    marked = marked.agg(F.map_from_entries(F.collect_list(F.struct("term", "chance"))).alias("marked"))
+    marked = scratch(spark, marked.withColumn("hash", F.xxhash64("rid")), "marked")
+    release(frequency, pairs, told, loose)
     places = _places(F.col("text"), F.col("marked"), F.concat(*PATTERNS))
-    found = base.join(marked, "rid", "left").withColumn("term", F.when(F.col("marked").isNotNull(), places).otherwise(none))
-    return found.drop("text", "marked")
+    spots = likely(base, F.xxhash64("rid"), marked, "hash").join(marked, "rid").select("rid", places.alias("term"))
+    return base.drop("text").join(spots, "rid", "left").withColumn("term", F.coalesce("term", F.array().cast(NO_TERMS)))
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -165,12 +181,25 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.concat(done["out"], F.substring(text, done["upto"] + 1, F.length(text)))
 
 
+def masks(kind: str) -> Column:
+    """array<struct<start, end, mask>> of a kind's spans."""
+
+    def mask(s: Column) -> Column:
+        if kind != "term":
+            return F.lit(f"[{kind}]")
+        shape = F.when(s["value"].rlike(r"[0-9]"), "[number]").when(F.regexp_replace(s["value"], EDGE, "").rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
+        return F.when(s["chance"] >= REMOVE, "").otherwise(shape)
+
+    return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), mask(s).alias("mask")))
+
+
 def sanitised(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id and text, with base hits generalised to their kind in brackets and terms to [term]; n_spans."""
-    rows = scratch(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = find(spark, rows, row="__row")
-    masked = lambda k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k}]").alias("mask")))
-    found = found.select(F.col("rid").alias("__rid"), F.concat(*[masked(k) for k in [*PATTERNS, "term"]]).alias("__spans"))
-    rows = rows.join(found, rows["__row"] == found["__rid"])
-    text = F.when(F.size("__spans") > 0, replaced(F.coalesce("text", F.lit("")), F.col("__spans"))).otherwise(F.col("text"))
-    return rows.select(*[c for c in docs.columns if c != "text"], text.alias("text"), F.size("__spans").cast("long").alias("n_spans"))
+    """docs with base hits generalised to their kind in brackets, terms removed or generalised to [name], [number] or [word]; n_spans comes last."""
+    row, count = fresh("row", docs), fresh("n_spans", docs)
+    rows = numbered(spark, docs, row)
+    key, spans = fresh("rid", rows), fresh("spans", rows)
+    found = find(spark, rows, row=row).select(F.col("rid").alias(key), F.concat(*[masks(k) for k in [*PATTERNS, "term"]]).alias(spans))
+    rows = rows.join(found, rows[row] == found[key])
+    text = F.when(F.size(spans) > 0, replaced(F.coalesce("text", F.lit("")), F.col(spans))).otherwise(F.col("text"))
+    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*kept, F.size(spans).cast("long").alias(count))

@@ -348,5 +348,5 @@ def _named(spark: SparkSession, rows: DataFrame, classes: DataFrame, roots: Data
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """The rows of docs, one of each component; rows without words stay."""
-    stay = near_classes(spark, docs, size, percent).filter("keep").select("doc_id", "digest").distinct()
-    return rows_kept(spark, docs, stay, text_digest(F.col("text")))
+    decided = scratch(spark, near_classes(spark, docs, size, percent).select("doc_id", "digest", "keep"), "decided")
+    return rows_kept(spark, docs, decided, text_digest(F.col("text")))

@@ -10,7 +10,8 @@ The fit takes at most SAMPLE labelled rows per label, the ones with the smallest
 else sees all rows and whole texts. Without rows of both labels all weights are 0 and every score is the cut.
 
 Defined results: a null text is an empty one, which has a score like any other; documents with several labels count
-by their largest; null ids are no training rows; an empty table gives no rows.
+by their largest; null ids are no training rows; repeated rows are scored one by one; an empty table gives no rows; other columns come
+back as they were, whatever they are called (the score is the last column).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .base import binaries, by_batches
+from .base import binaries, by_batches, fresh
 
 #: Rows of each label that a fit looks at, at most.
 SAMPLE = 6000
@@ -151,12 +152,12 @@ def fit_labels(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: C
 
 
 def scored(spark: SparkSession, docs: DataFrame, ranking: Ranking) -> DataFrame:
-    """docs (all columns) and a last column __score."""
-    place = docs.columns.index("text")
+    """docs (all columns) and a last column score, with underscores in front where docs has a column of that name."""
+    place, name = docs.columns.index("text"), fresh("score", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t) for t in binaries(batch.column(place))]).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranking.score(x), pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranking.score(x), pa.float64())], names=[*batch.schema.names, name])
 
-    return by_batches(docs, run, StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    return by_batches(docs, run, StructType([*docs.schema.fields]).add(name, DoubleType()))

@@ -18,7 +18,7 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod(F.col("doc_id"), 5) == 0
     ranking = quality.fit_labels(spark, docs, read(spark, sf_dir, "labels"), ~held_out)
     rows = quality.scored(spark, docs, ranking)
-    return rows.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= quality.CUT).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +30,13 @@ def op3_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixing.mix(spark, read(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("rid")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    rows = index.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", expected=docs.count())
+    rows = index.deduplicate(docs, deliveries=2)  # the second half meets the first in the index
     index.drop()
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

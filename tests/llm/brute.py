@@ -38,7 +38,7 @@ def decontaminated(docs, items, window=10):
         words = folded(text)
         size = min(window, len(words))
         for k in range(len(words) - size + 1 if words else 0):
-            windows.setdefault(tuple(words[k : k + size]), set()).add(str(item))
+            windows.setdefault(tuple(words[k : k + size]), set()).add(item)
     sizes = {len(w) for w in windows}
     out = []
     for doc, text in docs:
@@ -47,7 +47,7 @@ def decontaminated(docs, items, window=10):
             for k in range(len(words) - size + 1):
                 if owners := windows.get(tuple(words[k : k + size])):
                     hit |= set(range(k, k + size))
-                    found |= owners
+                    found |= {str(x) for x in owners if x is not None}
         out.append((doc, len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return out
 
@@ -137,3 +137,38 @@ def private(docs):
         joined = ",".join(f"{k}:{a}:{b}" for k, found in spans.items() for a, b in found)
         out.append((doc, *(len(found) for found in spans.values()), sha(joined)))
     return out
+
+
+def wider(kind, value):
+    digits = "".join(x for x in value if x in "0123456789")
+    if kind == "email":
+        return value.rsplit("@", 1)[1].lower()
+    if kind == "ip":
+        return ".".join(value.split(".")[:3])
+    return digits[:6] if kind == "card" else digits[:-4]
+
+
+def disclosed(docs, chance=0.5, bits=4.0, least=3):
+    """Spans of terms of each document, from counts of all pairs of a term and an entity; docs by place, ids may repeat."""
+    words, base, holders, entities = [], [], {}, {}
+    for k, (_, text) in enumerate(docs):
+        text = text or ""
+        words.append([(m.start(), m.end(), re.sub(r"^[\W_]+|[\W_]+$", "", m[0]).lower()) for m in SPACED.finditer(text)])
+        base.append([(kind, *m.span(), m[0]) for kind, p in PLAIN.items() for m in re.finditer(p, text) if real(kind, m[0])])
+        for _, _, t in words[k]:
+            if len(t) >= least:
+                holders.setdefault(t, set()).add(k)
+        for kind, _, _, value in base[k]:
+            entities.setdefault((kind, value), set()).add(k)
+            entities.setdefault((kind, "of", wider(kind, value)), set()).add(k)
+    marked: list[set] = [set() for _ in docs]
+    for owners in entities.values():
+        for t, have in holders.items():
+            both = len(have & owners)
+            if both >= chance * len(have) and both and math.log2(both * len(docs) / (len(have) * len(owners))) >= bits:
+                for k in have:
+                    marked[k].add(t)
+    return [
+        (doc, [(a, b) for a, b, t in words[k] if t in marked[k] and not any(x < b and a < y for _, x, y, _ in base[k])])
+        for k, (doc, _) in enumerate(docs)
+    ]

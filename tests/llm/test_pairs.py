@@ -103,9 +103,11 @@ def exact(corpus):
     return [(k, min(groups[t]), len(groups[t]), k == min(groups[t]), brute.sha(t)) for k, t in norm.items()]
 
 
-def test_exact_copies_keep_the_least_id(spark, corpus, documents):
-    index = exact_dedup.DigestIndex(spark, "index_a", buckets=4)
-    got = index.deduplicate(documents).withColumn("sha", F.lower(F.hex("digest")))
+@pytest.mark.parametrize("deliveries", [1, 3])
+def test_exact_copies_keep_the_least_id(spark, corpus, documents, deliveries):
+    index = exact_dedup.DigestIndex(spark, f"index_a{deliveries}", buckets=4)
+    got = index.deduplicate(documents, deliveries=deliveries).withColumn("sha", F.lower(F.hex("digest")))
+    index.drop()
     assert rows(got, "doc_id", "keep_id", "group_size", "kept", "sha") == sorted(exact(corpus), key=repr)
 
 
@@ -127,3 +129,14 @@ def test_equal_rows_leave_one(spark):
     left = exact_dedup.deduplicated(spark, frame)
     assert left.columns == frame.columns
     assert rows(left, "doc_id", "text", "digest") == sorted([(1, "a", "w"), (1, "a ", "w"), (None, "z", "q"), (2, None, None)], key=repr)
+
+
+def test_rows_with_maps_and_clashing_columns(spark):
+    schema = "doc_id long, text string, key string, keep string, hash string, bucket string, rows_of_key string, m map<string,int>"
+    docs = [(k % 5 if k % 7 else None, f"t{k % 3}", "a", "b", "c", "d", "e", {"x": k % 2}) for k in range(60)]
+    frame = spark.createDataFrame(docs, schema)
+    left = exact_dedup.deduplicated(spark, frame)
+    assert left.columns == frame.columns and left.dtypes == frame.dtypes
+    assert rows(left, "doc_id", "text", "keep") == [(0, f"t{k}", "b") for k in range(3)]
+    plain = frame.select("doc_id", "text").distinct()
+    assert exact_dedup.deduplicated(spark, plain).count() == 3

@@ -48,7 +48,7 @@ def items(corpus):
         if len(words) > 12:
             a = pick.randrange(len(words) - 10)
             out.append((k, "Intro, " + " ".join(words[a : a + pick.randint(1, 30)]).upper() + " – end!"))
-    return [*out, (900, None), (901, ""), (902, "one"), (903, "one"), (904, "--- !!"), (905, "zz unseen words only here")]
+    return [*out, (900, None), (901, ""), (902, "one"), (903, "one"), (904, "--- !!"), (905, "zz unseen words only here"), (902, "Two words"), (None, "a b c"), (None, "　here one")]
 
 
 @pytest.mark.parametrize("shard_words", [100_000, 40])
@@ -180,11 +180,11 @@ def test_ranking_parts_good_from_bad(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     ranking = quality.fit_labels(spark, docs, labels, ~held)
     got = quality.scored(spark, docs, ranking).filter(held).join(labels.dropDuplicates(["doc_id"]), "doc_id").filter("quality is not null").collect()
-    right = [(r["__score"] >= quality.CUT) == (r["quality"] == 1) for r in got]
+    right = [(r["score"] >= quality.CUT) == (r["quality"] == 1) for r in got]
     assert len(right) > 20 and sum(right) / len(right) > 0.95
-    assert quality.scored(spark, docs, ranking).filter("__score between 0 and 1").count() == len(texts)
+    assert quality.scored(spark, docs, ranking).filter("score between 0 and 1").count() == len(texts)
     none = quality.fit_labels(spark, docs, labels.limit(0), ~held)
-    assert {round(r["__score"], 6) for r in quality.scored(spark, docs, none).collect()} == {quality.CUT}
+    assert {round(r["score"], 6) for r in quality.scored(spark, docs, none).collect()} == {quality.CUT}
     again = quality.fit_labels(spark, docs.repartition(7), labels.repartition(3), ~held)
     assert np.allclose(again.weights, ranking.weights)
 
@@ -219,7 +219,7 @@ def test_random_texts_equal_plain_patterns(spark):
     assert rows(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(brute.private(docs), key=repr)
 
 
-def test_terms_that_tell_an_entity_are_found_only_near_it(spark):
+def test_terms_that_tell_an_entity_are_found_and_removed(spark):
     filler = "the of and to in that with for from this"
     docs = [(k, f"{filler} {k} write to Zorblax, at zz@example.org about it {filler}") for k in range(4)]
     docs += [(10 + k, f"{filler} about {k} others the about") for k in range(120)] + [(160, f"{filler} one@example.org {filler}")]
@@ -246,6 +246,40 @@ def test_terms_are_found_for_entities_in_one_or_two_documents(spark):
     assert not any(got[d]["n_term"] for d, _ in docs[5:])
 
 
+def test_terms_stand_for_their_entity_in_any_document(spark):
+    filler = "the of and to in that with for from this " * 5
+    docs = [(k, f"Zorblatt at zorb@mail.com {filler} zorblatt left") for k in range(5)] + [(5, f"{filler} Zorblatt, came 77 x")]
+    docs += [(10 + k, f"{filler} others{k % 40}") for k in range(160)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in disclosure.report(spark, frame).collect()}
+    at = docs[5][1].index("Zorblatt,")
+    assert got[5] == [f"term:{at}:{at + 9}"] and sum(s.startswith("term") for s in got[0]) == 2 + 1  # left stands in no other document
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitised(spark, frame).collect()}
+    assert clean[5] == f"{filler} [name] came 77 x" and clean[0] == f"[name] at [email] {filler} [word] "
+    assert clean[10] == docs[6][1]
+
+
+def test_terms_equal_brute_force(spark):
+    pick = random.Random(12)
+    names = [f"name{k}" for k in range(30)]
+    hits = [f"u{k}@d{k % 3}.org" for k in range(6)] + ["10.0.0.1", "10.0.0.2", "+49 30 1234567", "4111 1111 1111 1111"]
+    docs = []
+    for k in range(400):
+        words = [pick.choice(["the", "of", "and", "a,", "(an)"]) for _ in range(12)] + pick.sample(names, pick.randint(0, 2))
+        if pick.random() < 0.15:
+            h = pick.randrange(len(hits))
+            words += [hits[h], f"Near{h}." if pick.random() < 0.8 else "", f"near{h}é!", names[h]]
+        elif pick.random() < 0.04:
+            words.append(f"near{pick.randrange(10)}")
+        pick.shuffle(words)
+        docs.append((k % 390 if k % 50 else None, " ".join(words) if k % 60 else None))
+    got = disclosure.report(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute.disclosed(docs)
+    assert sum(len(s) for _, s in want) > 50
+    terms = [(r["doc_id"], [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("term")]) for r in got]
+    assert sorted(terms, key=repr) == sorted(want, key=repr)
+
+
 # mixing
 
 
@@ -265,7 +299,7 @@ def mixed_by_hand(corpus):
         full |= set(over)
 
 
-@pytest.mark.parametrize("slices", [2000, 3])
+@pytest.mark.parametrize("slices", [50_000, 7])
 def test_mix_meets_targets(spark, corpus, documents, slices, monkeypatch):
     monkeypatch.setattr(mixing, "SLICE", slices)
     got = mixing.mix(spark, documents).collect()
@@ -280,7 +314,7 @@ def test_mix_meets_targets(spark, corpus, documents, slices, monkeypatch):
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[source[r["doc_id"]]] = taken.get(source[r["doc_id"]], 0) + r["taken"]
     assert taken == {s: math.floor(t + 1e-9) for s, (_, t) in want.items()}
-    monkeypatch.setattr(mixing, "SLICE", 2000)
+    monkeypatch.setattr(mixing, "SLICE", 50_000)
     assert rows(mixing.mix(spark, documents.repartition(2)), "doc_id", "taken") == sorted(((r["doc_id"], r["taken"]) for r in got), key=repr)
 
 
@@ -292,6 +326,34 @@ def test_mix_of_odd_tables(spark):
     assert rows(mixing.mix(spark, docs.filter("doc_id = 3")), "target", "taken") == [(0.0, 0)]
 
 
+def test_rows_of_one_id_have_takings_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "a", "x y z v", 7), (1, "a", "x", 8), (2, "a", "x y z", 9), (None, "a", "w", 1), (None, "a", "w", 1)], "doc_id long, source string, text string, taken int")
+    assert rows(mixing.mix(spark, docs).groupBy().agg(F.sum("taken").alias("n")), "n") == [(10,)]
+    got = mixing.mixed(spark, docs)
+    assert got.columns == [*docs.columns, "_taken"] and got.select(F.sum("_taken")).first()[0] == 10
+    assert rows(got, "doc_id", "text", "taken", "_taken") == sorted([(1, "x y z v", 7, 4), (1, "x", 8, 1), (2, "x y z", 9, 3), (None, "w", 1, 1), (None, "w", 1, 1)], key=repr)
+
+
+def test_weights_of_nothing_put_rows_last(spark):
+    docs = spark.createDataFrame([(k, "ab"[k % 2], "w " * (3 if k % 2 else 9), [1.0, None, 0.0, -1.0, float("nan")][k // 2 % 5]) for k in range(200)], "doc_id long, source string, text string, w double")
+    got = mixing.mix(spark, docs, weight=F.col("w")).join(docs.select("doc_id", "w"), "doc_id")
+    assert got.count() == 200 and got.select(F.sum("taken")).first()[0] == 1200
+    took = {r["doc_id"]: (r["taken"], r["size"], r["w"]) for r in got.collect()}  # source a has 900 words and a target of 400
+    assert all(took[k][0] == 9 for k in range(0, 200, 10)) and sum(took[k][0] for k in range(0, 200, 2)) == 400
+
+
+def test_slices_are_even_whatever_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 500)
+    docs = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.lit("one two").alias("text"))
+    seen = []
+    plain = mixing.scratch
+    monkeypatch.setattr(mixing, "scratch", lambda spark, df, name: seen.append((name, out := plain(spark, df, name))) or out)
+    got = mixing.mix(spark, docs, weight=F.lit(0.05))
+    assert got.select(F.sum("taken")).first()[0] == 40_000
+    most = dict(seen)["slices"].groupBy("slice").count().agg(F.max("count")).first()[0]
+    assert most < 1500
+
+
 def test_weights_matter(spark):
     docs = spark.createDataFrame([(k, "a" if k % 2 else "b", "w " * 10 + ("!" * 400 if k % 4 < 2 else "")) for k in range(800)], "doc_id long, source string, text string")
     part = mixing.mix(spark, docs).join(docs.select("doc_id", "source", F.contains("text", F.lit("!")).alias("poor")), "doc_id").filter("source = 'a'")
