@@ -12,7 +12,8 @@ from factree.llm.base import read, scratch
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the cut go."""
     ranking = quality.fit_labels(spark, docs, read(spark, sf_dir, "labels"), F.lit(True))
-    return quality.scored(spark, docs, ranking).filter(F.col("__score") >= quality.CUT).select(docs.columns)
+    rows = quality.scored(spark, docs, ranking)
+    return rows.filter(F.col(rows.columns[-1]) >= quality.CUT).select(docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
