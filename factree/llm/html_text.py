@@ -1,19 +1,24 @@
 """Main text of web pages by a minimum cut.
 
-A page is cut into blocks (text between block-level tags). A linear classifier on a block's words, links, punctuation and
-the tags, classes and ids around it gives log odds of content; they become the capacities of its edges from the source
-(content) and to the sink (boilerplate). Neighbours in page order and neighbours in the document tree are joined by
-edges whose capacity is the price of labelling them apart, higher the closer they are in the tree. The blocks that the
-maximum flow leaves on the source's side are the main text, so a short line between paragraphs stays and a
-sentence in an advert goes.
-
-Comments, scripts, styles, titles, form controls and markup never become blocks. Character references are decoded once; a run of the
-ASCII white space characters inside a block (line-break tags included) becomes one space. Unclosed and crossed tags are
-taken as browsers do in essence: a block-level tag ends a paragraph, an end tag closes up to its match or nothing.
+A page is cut into blocks (text between block-level tags). A logistic classifier on a block's own words, links, digits and
+punctuation gives log odds of content. It is trained on the table itself: blocks inside <article> or <main> and blocks inside
+elements that are never content (navigation, footers, forms) label each other's kind, in a bounded sample of pages (PAGES,
+BLOCKS); a table without both kinds has the weights PLAIN. Tags, classes and ids around a block add to its odds. The odds become
+the capacities of its edges from the source (content) or to the sink (boilerplate). The document tree is part of the graph: a
+block hangs on its element and each element on its parent by edges whose capacity is the price of labelling them apart, and
+neighbours in page order are joined by edges that cost less the farther apart they are in the tree; edges that leave a marked
+element cost next to nothing. The blocks that the maximum flow leaves on the source's side are the main text: a two-word
+paragraph among others stays although its words alone look like a menu, and a full sentence in a footer goes.
+
+Comments, scripts, styles, titles, form controls and markup never become blocks; text in <math> is content like any other. An unclosed
+<script>, <style>, <title> or <textarea> swallows the rest of the page as in browsers; other unclosed tags lose nothing. Character
+references are decoded once; a run of the ASCII white space characters inside a block (line-break tags included) becomes one
+space. Unclosed and crossed tags are taken as browsers do in essence: a block-level tag ends a paragraph, an end tag closes up
+to its match or nothing.
 
 Defined results: null or empty html and pages without content have the empty text and 0 characters; repeated pages are
-done one by one; an empty table gives no rows; other columns are not looked at. One page is in memory at a time
-besides its batch, whatever its length.
+done one by one; an empty table gives no rows; null ids pass through but are no training pages; other columns are not looked at. One
+page is in memory at a time besides its batch, whatever its length; time grows with its length however deep its tags nest.
 """
 
 from __future__ import annotations
@@ -21,26 +26,42 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import by_batches
 
+#: Pages that the classifier is trained on at most, and labelled blocks of each.
+PAGES, BLOCKS = 500, 100
+
 # Names of HTML elements by what they mean here.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style title textarea iframe xmp noembed noframes template svg math object audio video canvas".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+SKIPPED = frozenset("template svg object audio video canvas".split())  # left out if they are closed
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("nav footer aside form button select option dialog menu noscript head fieldset".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup", "button", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "select", "noscript"}
 
+# Tags that end an open one of the same kind, and those that it can't be looked for beyond.
+SIBLINGS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dd": (("dd", "dt"), ("dl",)),
+    "dt": (("dd", "dt"), ("dl",)),
+    "option": (("option",), ("select",)),
+    "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")),
+    "tr": (("tr",), ("table",)),
+}
+
 # Words in class, id or role that mark boilerplate or content.
 BAD_HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar "
@@ -58,13 +79,20 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     name: str
     parent: Element | None
     hint: int = 0  # 1 content, -1 boilerplate, -2 boilerplate for sure
     depth: int = 0
     article: bool = False
+    marks: float = 0.0  # hints of it and what is around it, the innermost counts most
+    never: bool = False  # it or what is around it is boilerplate for sure
+
+    def __post_init__(self) -> None:
+        around = self.parent.marks if self.parent else 0.0
+        self.marks = (1 if self.hint > 0 else -1) + 0.4 * around if self.hint else around
+        self.never = self.hint == -2 or self.parent is not None and self.parent.never
 
 
 @dataclass
@@ -98,6 +126,15 @@ def blocks_of(page: str) -> list[Block]:
     root = Element("#", None)
     now, out, text, linked, links = root, [], [], 0, 0
     at, size = 0, len(page)
+    opened: Counter[str] = Counter()  # names of now and what is around it
+    unclosed: set[str] = set()
+
+    def up_to(element: Element) -> None:
+        """Closes what is open below element."""
+        nonlocal now
+        while now is not element:
+            opened[now.name] -= 1
+            now = now.parent
 
     def flush() -> None:
         nonlocal linked
@@ -151,6 +188,13 @@ def blocks_of(page: str) -> list[Block]:
             close = page.find(">", end.end())
             at = close + 1 if close >= 0 else size
             continue
+        if not closing and name in SKIPPED and not attributes.endswith("/") and name not in unclosed:
+            end = re.compile(f"</{name}\\s*>", re.IGNORECASE).search(page, at)
+            if end is None:
+                unclosed.add(name)
+            else:
+                at = end.end()
+            continue
         if name == "br":
             add(" ")
         elif name == "a":
@@ -158,82 +202,154 @@ def blocks_of(page: str) -> list[Block]:
         elif name in BLOCK:
             flush()
             if closing:
-                up = now
-                while up is not root and up.name != name:
-                    up = up.parent
-                if up is not root:
-                    now = up.parent
+                if opened[name]:
+                    up = now
+                    while up.name != name:
+                        up = up.parent
+                    up_to(up.parent)
                     links = 0
             else:
                 if name in CLOSES_P:
+                    while now.name == "p":
+                        up_to(now.parent)
+                same, stop = SIBLINGS.get(name, ((), ()))
+                if any(opened[x] for x in same):
                     up = now
-                    while up is not root and up.name == "p":
-                        up = up.parent
-                    now = up
-                if name in ("li", "dd", "dt", "option", "td", "th", "tr"):
-                    up = now
-                    stop = {"li": ("ul", "ol", "menu"), "td": ("table",), "th": ("table",), "tr": ("table",)}.get(name, ("dl", "select"))
-                    same = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}.get(name, (name,))
-                    while up is not root and up.name not in same and up.name not in stop and up.name not in ("tr" if name in ("td", "th") else "",):
+                    while up is not root and up.name not in same and up.name not in stop:
                         up = up.parent
-                    if up is not root and up.name in same:
-                        now = up.parent
+                    if up.name in same:
+                        up_to(up.parent)
                 if name not in VOID:
                     hint = 0 if name == "header" and now.article else hint_of(name, attributes)  # an article's own head holds its title
                     now = Element(name, now, hint, now.depth + 1, now.article or name in ("article", "main"))
+                    opened[name] += 1
         elif not closing and name not in VOID and attributes and not attributes.endswith("/") and hint_of("span", attributes) < 0:
             # an inline element that is marked as boilerplate stands as a block of its own
             flush()
             now = Element(name, now, -1, now.depth + 1, now.article)
+            opened[name] += 1
         elif closing and now.name == name:
             flush()
-            now = now.parent
+            up_to(now.parent)
     flush()
     return out
 
 
-def classify(blocks: list[Block]) -> None:
-    """Log odds of content."""
-    has_article = any(b.parent.article and _hints(b.parent) > 0 for b in blocks)
+def features(b: Block) -> list[float]:
+    """Of the words alone; tags and classes do not count here."""
+    words = b.text.count(" ") + 1
+    return [
+        1.0,
+        min(math.log1p(words) / 3, 1.5),
+        min(1.0, b.linked / len(b.text)),
+        float(b.text[-1] in ".!?:…»”\""),
+        min(1.0, sum(b.text.count(x) for x in ".,;!?") / words),
+        min(1.0, sum(b.text.count(x) for x in "0123456789") / len(b.text)),
+        float("©" in b.text or "|" in b.text),
+    ]
+
+
+# Weights of the features where a table has nothing to learn from.
+PLAIN = (-1.4, 2.0, -3.0, 0.8, 0.5, -0.5, -1.5)
+#: Words alone add at most so much to the odds.
+MOST = 2.0
+#: What marks around a block add: in an article (for each 1 of marks), in something marked as boilerplate, in what is never content, and
+#: outside the article of a page that has one.
+GOOD, BAD, NEVER_ODDS, OUTSIDE = 1.5, 5.0, -8.0, -3.0
+#: Price of parting a block or element from its parent, or neighbours of one parent; of leaving a marked element.
+SMOOTH, LEAVE = 1.0, 0.05
+#: Steps in the tree after which neighbours are taken as strangers.
+FAR = 20
+
+
+def seeds(blocks: list[Block]) -> list[tuple[list[float], bool]]:
+    """Features and kind of the blocks whose kind the tags alone tell."""
+    out = []
     for b in blocks:
-        words = b.text.count(" ") + 1
-        density = min(1.0, b.linked / max(1, len(b.text)))
-        odds = 1.6 * min(math.log1p(words) / 3, 1.5) - 1.2 - 3.0 * density
-        odds += 0.5 if b.text[-1] in ".!?:…»”\"" else -0.2
-        odds += 0.8 if b.parent.name in ("p", "h1", "blockquote", "pre") else 0.0
-        odds += 6.0 * _hints(b.parent)
-        if has_article and not b.parent.article:
-            odds -= 6.0
-        b.odds = odds
+        if b.parent.never:
+            out.append((features(b), False))
+        elif b.parent.article and b.parent.marks > 0:
+            out.append((features(b), True))
+    return out
 
 
-def _hints(element: Element) -> float:
-    """The hints around an element, the innermost counts most; a sure one outweighs all."""
-    total, weight, up = 0.0, 1.0, element
-    while up is not None:
-        if up.hint == -2:
-            return -4.0
-        if up.hint:
-            total += weight * up.hint
-            weight *= 0.4
-        up = up.parent
-    return total
+def fit(x: np.ndarray, content: np.ndarray, penalty: float = 1e-2, steps: int = 25) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method; both kinds weigh the same."""
+    if not len(x) or content.all() or not content.any():
+        return np.array(PLAIN)
+    share = np.where(content, 0.5 / content.sum(), 0.5 / (~content).sum())
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (p - content)) + penalty * w
+        bend = (x * (share * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
+        w = w - np.linalg.solve(bend, slope)
+    return w
+
+
+def train(spark: SparkSession, pages: DataFrame, most: int = PAGES) -> np.ndarray:
+    """The classifier's weights from the blocks that tags tell, in at most `most` pages, those whose ids have the least CRCs."""
+    ids = pages.select(F.col("page_id").alias("__id")).filter("__id IS NOT NULL").distinct()
+    ids = ids.orderBy(F.crc32(F.col("__id").cast("string").cast("binary")), "__id").limit(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [seeds(blocks_of(p or ""))[:BLOCKS] for p in batch.column("html").to_pylist()]
+            rows = [np.array([[*x, kind] for x, kind in f], dtype=np.float64).tobytes() for f in found if f]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["x"])
+
+    sample = pages.select("page_id", "html").join(F.broadcast(ids), F.col("page_id") == F.col("__id")).select("html")
+    rows = sorted(bytes(r["x"]) for r in by_batches(sample, run, "x binary").limit(4 * most).collect())
+    x = np.frombuffer(b"".join(rows)).reshape(-1, len(PLAIN) + 1)
+    return fit(x[:, :-1], x[:, -1] == 1)
+
+
+def classify(blocks: list[Block], weights: Sequence[float]) -> None:
+    """Log odds of content."""
+    has_article = any(b.parent.article and b.parent.marks > 0 for b in blocks)
+    for b in blocks:
+        words = sum(w * x for w, x in zip(weights, features(b), strict=True))
+        odds = max(-MOST, min(MOST, words))
+        marks = b.parent.marks
+        odds += GOOD * marks if marks > 0 else BAD * marks
+        if b.parent.never:
+            odds = min(odds, 0.0) + NEVER_ODDS
+        elif has_article and not b.parent.article:
+            odds += OUTSIDE
+        b.odds = odds
 
 
 def closeness(a: Element, b: Element) -> float:
-    """Price of labelling neighbours apart: 2 under one parent, less with each step between them in the tree; none across a hint."""
-    if a is b:
-        return 2.0
-    steps, hinted = 0, False
+    """Price of labelling neighbours in page order apart: less with each step between them in the tree, LEAVE across a mark."""
+    steps = 0
     while a is not b:
         if a.depth >= b.depth:
-            hinted |= a.hint != 0
-            a = a.parent
+            marked, a = a.hint, a.parent
         else:
-            hinted |= b.hint != 0
-            b = b.parent
+            marked, b = b.hint, b.parent
         steps += 1
-    return 0.1 if hinted else 2.0 / steps
+        if marked or steps > FAR:
+            return LEAVE
+    return SMOOTH / max(1, steps)
+
+
+def graph_of(blocks: list[Block]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Odds of the blocks, then 0 for each element of the tree that holds one, and the edges between them."""
+    odds, edges, numbers = [b.odds for b in blocks], {}, {}
+    for k, b in enumerate(blocks):
+        if k:
+            edges[k - 1, k] = closeness(blocks[k - 1].parent, b.parent)
+        at, below, price = b.parent, k, SMOOTH
+        while at is not None:
+            known = at in numbers
+            number = numbers.setdefault(at, len(odds))
+            if not known:
+                odds.append(0.0)
+            edges[below, number] = price
+            if known:
+                break
+            below, price, at = number, LEAVE if at.hint else SMOOTH, at.parent
+    return odds, edges
 
 
 def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -300,31 +416,22 @@ def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[
             x = to[e]
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, weights: Sequence[float] = PLAIN) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    classify(blocks)
-    edges: dict[tuple[int, int], float] = {}
-    latest: dict[int, int] = {}
-    for k, b in enumerate(blocks):
-        if k:
-            edges[k - 1, k] = closeness(blocks[k - 1].parent, b.parent)
-        container = id(b.parent.parent if b.parent.name in ("p", "li", "h1", "h2", "h3", "h4") and b.parent.parent else b.parent)
-        before = latest.get(container)
-        if before is not None and before != k - 1:
-            edges[before, k] = 1.0
-        latest[container] = k
-    content = minimum_cut([b.odds for b in blocks], edges)
-    return "\n".join(b.text for b, c in zip(blocks, content, strict=True) if c)
+    classify(blocks, weights)
+    content = minimum_cut(*graph_of(blocks))
+    return "\n".join(b.text for b, c in zip(blocks, content, strict=False) if c)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages (page_id, url, html)."""
+    weights = tuple(map(float, train(spark, pages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p or "") for p in batch.column("html").to_pylist()]
+            texts = [main_text(p or "", weights) for p in batch.column("html").to_pylist()]
             counts = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), counts], names=["page_id", "url", "text", "n_chars"])
 

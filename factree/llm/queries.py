@@ -46,7 +46,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(read(spark, sf_dir, "pages"))
+    return html_text.extract(spark, read(spark, sf_dir, "pages"))
 
 
 def op8_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:

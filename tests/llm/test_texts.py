@@ -394,8 +394,56 @@ def test_the_cut_is_a_minimum():
         assert cost(html_text.minimum_cut(odds, edges)) == pytest.approx(best)
 
 
+def test_whole_pages_take_the_cheapest_labelling():
+    pick = random.Random(3)
+    parts = ["<p>A whole sentence of words, as it were.</p>", "<p>Ok</p>", "<p><a href=x>Menu entry</a></p>", "<h2>Some title</h2>", "<ul><li>one</li></ul>", "<p class=ad>Buy it.</p>", "<p>© 12|3</p>"]
+    moved = 0
+    for _ in range(60):
+        page = "<article>" * pick.randint(0, 1) + "".join(pick.choice(parts) for _ in range(pick.randint(1, 5)))
+        found = html_text.blocks_of(page)
+        html_text.classify(found, html_text.PLAIN)
+        odds, edges = html_text.graph_of(found)
+        n = len(odds)
+
+        def cost(side, odds=odds, edges=edges):
+            return sum(abs(x) for x, s in zip(odds, side, strict=True) if (x > 0) != s and x) + sum(c for (a, b), c in edges.items() if side[a] != side[b])
+
+        best = min(cost([bool(k >> j & 1) for j in range(n)]) for k in range(2**n))
+        side = html_text.minimum_cut(odds, edges)
+        assert cost(side) == pytest.approx(best)
+        assert html_text.main_text(page).split("\n") == ([b.text for b, s in zip(found, side, strict=False) if s] or [""])
+        moved += sum((b.odds > 0) != s for b, s in zip(found, side, strict=False))
+    assert moved > 10  # the cut, not the sign of the odds, decides
+
+
+def test_the_cut_labels_by_the_neighbours():
+    long = "<p>A paragraph of the article, which has a good many words in it.</p>"
+    assert html_text.main_text(f"<article>{long}<p>No</p>{long}</article>").count("\n") == 2
+    assert html_text.main_text("<article>" + long + "<p>No</p>" * 40 + "</article>").count("\n") == 40
+    assert "No" not in html_text.main_text(f"<body>{long}<nav><p>No</p></nav>{long}<div><p>No</p><p>No</p></div></body>")
+
+
+def test_unclosed_tags_lose_nothing():
+    rest = "<p>The rest of the page is text, as it was before.</p>"
+    for tag in ("svg", "object", "audio", "video", "canvas", "template"):
+        assert html_text.main_text(f"<{tag}>{rest}") == html_text.main_text(rest) != ""
+        assert html_text.main_text(f"{rest}<{tag}><p>This is not text of the page, it is a fallback.</p></{tag}>") == html_text.main_text(rest)
+    assert html_text.main_text("<p>So we have <math><mi>x</mi> = <mn>2</mn></math> and the proof ends.</p>") == "So we have x = 2 and the proof ends."
+    assert html_text.main_text(f"{rest}<script>{rest}") == html_text.main_text(rest)
+    for page in ("<div>" * 20_000 + rest, "<li><div>x" * 5_000, "<div>" * 5_000 + "</p></li>" * 5_000 + rest):
+        html_text.main_text(page)
+
+
+def test_weights_come_from_the_table(spark):
+    page = "<nav><ul>" + "<li><a href=x>Some entry</a></li>" * 5 + "</ul></nav><article>" + "<p>These are words of an article, and more of them.</p>" * 5 + "</article>"
+    pages = spark.createDataFrame([(k, page) for k in range(30)] + [(None, None)], "page_id long, html string")
+    learned = html_text.train(spark, pages)
+    assert learned[2] < 0 < learned[1] and np.allclose(learned, html_text.train(spark, pages.repartition(3)))
+    assert tuple(html_text.train(spark, pages.limit(0))) == html_text.PLAIN == tuple(html_text.train(spark, pages.filter("page_id IS NULL")))
+
+
 def test_pages_of_a_table(spark):
     pages = [(1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "u", "<article>" + "<p>word and word.</p>" * 3000), (3, "u", "x")]
-    got = rows(html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "url", "n_chars", "text")
+    got = rows(html_text.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "url", "n_chars", "text")
     assert len(got) == 5 and all(n == len(t) for *_, n, t in got)
     assert (3, "u", 3000 * 15 - 1, "\n".join(["word and word."] * 3000)) in got
