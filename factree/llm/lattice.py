@@ -2,18 +2,22 @@
 
 The probability of a word under the lattice is the sum over all its segmentations into pieces of the vocabulary, by
 a forward recursion in log space, where each segmentation weighs the product of its pieces' probabilities. The
-vocabulary's own scores rank the pieces; a piece of rank r starts with weight 1 / (r + 10), and `rounds` rounds of
-expected counts over all distinct training words (forward and backward over the lattice) adapt the weights.
-A training word is itself one more path through the lattice, with its count as weight, so for N training tokens,
-V of them distinct, and count c, a word has the probability (c + V * lattice) / (N + V). A document's probability
-is the product over its words and one end.
-
-Counts of all words of all documents are summed per task before the shuffle. For scoring, the most frequent words, HEAD
-at most (long ones by their digest), go to the tasks by broadcast; occurrences of all other words are joined by shuffle, so no
-task and not the driver holds a vocabulary that grows with the corpus.
+vocabulary's own scores rank the pieces; a piece of rank r weighs 1 / (r + 10), normalised. These weights keep the share OWN of every
+piece's probability whatever the corpus is like; the rest is learned by `rounds` rounds of expected counts over all distinct
+training words (forward and backward over the lattice), so a segmentation always weighs by the vocabulary's scores and by use.
+The pieces are as many as the vocabulary has, so what a corpus tells about its words beyond them is kept in word counts that
+grow with it: a training word is one more path through the lattice, with its count as weight. For N training tokens,
+V of them distinct, and count c, a word has the probability (c + V * lattice) / (N + V); the lattice is the only path of a word
+that is not among them. A document's probability is the product over its words and one end.
+
+Counts of all words of all documents are summed per task before the shuffle. For scoring, the words that occur most, in training
+rows or not, HEAD at most (long ones by their digest), go to the tasks by broadcast; all others, each rarer than
+any of those, are summed per document and joined by shuffle, so no task and not the driver holds a vocabulary that grows with the
+corpus, and no key of the join is hot.
 
 Defined results: a null text is an empty one: one token, the end. Null ids are training rows (see crc_mod). Repeated
-rows are scored one by one. An empty table gives no rows; without training rows every known count is 0.
+rows are scored one by one. An empty table gives no rows; without training rows every known count is 0. Words of any length
+have their whole probability, without a floor. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from .base import binaries, by_batches, crc_mod, larger, scratch
 
 #: Words sent to the tasks with their probabilities at most, and the most bytes that one has there.
 HEAD, HEAD_BYTES = 150_000, 64
+#: Share of the vocabulary's own weights in the probabilities of the pieces.
+OWN = 0.25
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 #: Words of more characters take the plain recursion instead of the one over many words at once.
@@ -199,32 +205,35 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over rows with learn; words of other rows come with c = 0. docs: learn, text."""
+    """word, c (its count over rows with learn) and n (over all rows). docs: learn, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        learned: Counter[bytes] = Counter()
+        others: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        def out(counts: Counter[bytes], learn: bool) -> pa.RecordBatch:
+            found = pa.array(list(counts.values()), pa.int64())
+            none = pa.array(np.zeros(len(counts), dtype=np.int64))
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), found if learn else none, found], names=["word", "c", "n"])
             counts.clear()
             return batch
 
         for batch in batches:
             for learn, text in zip(batch.column("learn").to_pylist(), binaries(batch.column("text")), strict=True):
-                if learn:
-                    counts.update(tokens(text))
-                else:
-                    for w in set(tokens(text)):
-                        counts.setdefault(w, 0)
-                if len(counts) > HELD:
-                    yield out()
-        yield out()
+                (learned if learn else others).update(tokens(text))
+                if len(learned) + len(others) > HELD:
+                    yield out(learned, True)
+                    yield out(others, False)
+        yield out(learned, True)
+        yield out(others, False)
 
-    return by_batches(docs.select("learn", "text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    found = by_batches(docs.select("learn", "text"), run, "word binary, c long, n long")
+    return found.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def adapted(spark: SparkSession, lattice: Lattice, counts: DataFrame, start: Lattice) -> Lattice:
-    """The lattice with weights from expected uses over the distinct training words; a thousandth stays with those of start."""
+    """The lattice with weights from expected uses over the distinct training words; the share OWN stays with those of start."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lattice.pieces))
         for batch in larger(batches):
@@ -239,23 +248,23 @@ def adapted(spark: SparkSession, lattice: Lattice, counts: DataFrame, start: Lat
     if not uses.sum():
         return lattice
     old = np.exp(start.logp)
-    return Lattice(lattice.pieces, np.log(0.999 * (0.999 * uses / uses.sum() + 0.001 * old / old.sum())), lattice.log_byte)
+    return Lattice(lattice.pieces, np.log(0.999 * ((1 - OWN) * uses / uses.sum() + OWN * old / old.sum())), lattice.log_byte)
 
 
 def head_count(counts: DataFrame, most: int = HEAD) -> float:
     """The least count, of steps of an eighth of a power of 2, that at most `most` words reach."""
-    step = F.floor(F.log2("c") * 8)
-    found = counts.filter("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    step = F.floor(F.log2("n") * 8)
+    found = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
     least, total = math.inf, 0
     for r in sorted(found, key=lambda r: -r["step"]):
-        total += r["n"]
+        total += r["words"]
         if total > most:
             break
         least = r["least"]
     return least
 
 
-def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None, rounds: int = 2) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, vocabulary: str | Lattice, held_out=None, rounds: int = 2, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs (doc_id, text)."""
     held = crc_mod(F.col("doc_id"), 7) == 2 if held_out is None else held_out
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held).alias("learn"), "text")
@@ -263,9 +272,10 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None,
     ends = rows.filter("learn").count()
     seen = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = seen[0] + ends, seen[1] + (ends > 0)
-    start = lattice = lattice_of(vocabulary)
+    start = lattice = lattice_of(vocabulary) if isinstance(vocabulary, str) else vocabulary
     for _ in range(rounds):
         lattice = adapted(spark, lattice, counts, start)
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in larger(batches):
             found, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
@@ -273,13 +283,13 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None,
                 mixed = np.logaddexp(np.log(c), math.log(max(v, 1)) + lattice.log_probability(found))
             mixed = (mixed - math.log(n + max(v, 1))) / math.log(10)
             base = np.log10((c + 1) / (n + v + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(base), pa.array(mixed)], names=["word", "c", "base", "mixed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("word", "c", "n")), pa.array(base), pa.array(mixed)], names=["word", "c", "n", "base", "mixed"])
 
-    weighed = scratch(spark, by_batches(counts, weigh, "word binary, c long, base double, mixed double"), "weighed")
+    weighed = scratch(spark, by_batches(counts, weigh, "word binary, c long, n long, base double, mixed double"), "weighed")
     key = F.when(F.length("word") <= HEAD_BYTES, F.col("word")).otherwise(F.concat(F.lit(DIGEST), F.unhex(F.sha2("word", 256))))
-    head = weighed.filter(F.col("c") >= head_count(weighed)).select(key.alias("key"), "base", "mixed").toArrow()
-    columns = [head.column(c).to_pylist() for c in ("key", "base", "mixed")]
-    known = spark.sparkContext.broadcast({k: (b, m) for k, b, m in zip(*columns, strict=True)})
+    sent = weighed.filter(F.col("n") >= head_count(weighed, head)).select(key.alias("key"), "c", "base", "mixed").toArrow()
+    columns = [sent.column(c).to_pylist() for c in ("key", "c", "base", "mixed")]
+    known = spark.sparkContext.broadcast({k: (b, m, int(c > 0)) for k, c, b, m in zip(*columns, strict=True)})
     end = (math.log10((ends + 1) / (n + v + 1)), math.log10(max(ends, 1) / (n + max(v, 1))), int(ends > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,21 +306,20 @@ def score(spark: SparkSession, docs: DataFrame, vocabulary: str, held_out=None,
                     else:
                         base += x[0]
                         mixed += x[1]
-                hits += len(found) - len(others)
+                        hits += x[2]
                 out.append((len(found) + 1, hits, base, mixed))
-                rare.append(others)
+                rare.append(list(Counter(others).items()))
             columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), batch.column("learn"), *columns, pa.array(rare, pa.list_(pa.binary()))],
+                [batch.column("rid"), batch.column("doc_id"), batch.column("learn"), *columns, pa.array(rare, pa.map_(pa.binary(), pa.int64()))],
                 names=["rid", "doc_id", "learn", "n_tokens", "hits", "base", "mixed", "rare"],
             )
 
-    schema = "rid long, doc_id long, learn boolean, n_tokens long, hits long, base double, mixed double, rare array<binary>"
+    schema = "rid long, doc_id long, learn boolean, n_tokens long, hits long, base double, mixed double, rare map<binary,bigint>"
     part = scratch(spark, by_batches(rows.withColumn("rid", F.monotonically_increasing_id()), run, schema), "scored")
-    tail = part.select("rid", F.explode("rare").alias("word"))
-    tail = tail.join(weighed.hint("merge"), "word").groupBy("rid").agg(
-        F.sum((F.col("c") > 0).cast("long")).alias("t_hits"), F.sum("base").alias("t_base"), F.sum("mixed").alias("t_mixed")
-    )
+    tail = part.select("rid", F.explode("rare").alias("word", "times")).join(weighed.hint("merge"), "word")
+    times = lambda c: F.sum(F.col("times") * F.col(c))
+    tail = tail.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("t_hits"), times("base").alias("t_base"), times("mixed").alias("t_mixed"))
     both = part.drop("rare").join(tail, "rid", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return both.select(

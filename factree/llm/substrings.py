@@ -1,7 +1,7 @@
 """Substring dedup: words covered by a window of consecutive words that also occurs elsewhere are removed.
 
 remove_known() streams documents over suffix automata of a reference that is sent to the tasks in shards of bounded
-size: at every word the matching statistic (the longest match that ends there) tells the maximal spans.
+size, one after the other: at every word the matching statistic (the longest match that ends there) tells the maximal spans.
 
 For a corpus against itself the reference is the corpus, whose automata neither fit a broadcast nor could be streamed
 shard by shard (that is quadratic), so repeated() finds the same spans by digests. Each window is anchored at its
@@ -12,7 +12,7 @@ digests, counted with map-side combine, so a passage that a third of all documen
 move only for documents that lose some of their words, but not all.
 
 Defined results: a null or blank text has no words and keeps the empty string; equal rows are each other's copies;
-ids only pass through; an empty table gives no rows. Digests have 64 bits.
+ids only pass through; an empty table gives no rows. Digests have 64 bits. repeated() looks at no other columns.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .base import SPACE, binaries, bitmap, by_batches, in_bitmap, likely, scratch, with_lookup
+from .base import SPACE, binaries, bitmap, by_batches, fresh, in_bitmap, likely, numbered, release, scratch, with_lookup
 
 WINDOW, SEED = 35, 8
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -96,11 +96,14 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: i
     flat = flat.withColumn("tid", F.xxhash64("words"))
     n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.translate("words", " ", "")) + 1).cast("long")
     rows = scratch(spark, flat.select("doc_id", "tid", n_words.alias("n_words"), F.unhex(F.sha2("words", 256)).alias("sha")), "documents")
-    found = scratch(spark, _runs(flat.select("tid", "words"), window, seed), "runs")
+    every = found = scratch(spark, _runs(flat.select("tid", "words"), window, seed), "runs")
     # anchors that stand once are most of all and can't repeat: a bitmap of the others spares the joins nearly all of them
     anchors = scratch(spark, found.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1"), "anchors")
     found = _in(found, "anchor", bitmap(anchors, "anchor"))
-    found = scratch(spark, with_lookup(scratch(spark, found, "likely"), anchors, "anchor", "total").filter("total IS NOT NULL").drop("total"), "candidates")
+    may = scratch(spark, found, "likely")
+    release(every)
+    found = scratch(spark, with_lookup(may, anchors, "anchor", "total").filter("total IS NOT NULL").drop("total"), "candidates")
+    release(may, anchors)
     groups = found.groupBy("run").agg(F.first("anchor").alias("anchor"), F.count("*").alias("c"), F.min("tid").alias("least"))
     groups = scratch(spark, groups, "groups")
     unlike = scratch(spark, groups.groupBy("anchor").agg(F.count("*").alias("d")), "unlike")
@@ -108,6 +111,7 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: i
     placed = with_lookup(found.select("run", "tid", "first", "windows"), shared, "run", "c")
     # copies of a text have the same runs: once is enough from here on
     placed = scratch(spark, placed.dropDuplicates(["tid", "first"]), "placed")
+    release(found, groups, unlike, shared)
 
     whole = placed.filter("c > 1").select("tid", F.col("first").alias("a"), (F.col("first") + F.col("windows") + window - 1).alias("b"))
     unsure = placed.filter("d > 1 AND (c = 1 OR tid = least)").select("tid", "first", "windows", (F.col("c") == 1).alias("open"))
@@ -121,6 +125,7 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: i
     flat = likely(flat, F.col("tid"), part, "__tid")
     texts = flat.join(part.hint("merge"), flat["doc_id"].eqNullSafe(part["__id"]) & (flat["tid"] == part["__tid"]))
     texts = scratch(spark, texts.select("tid", "words", "spans", "unsure", "gone", "n_words").dropDuplicates(["tid"]), "texts")
+    release(placed)
 
     windows = scratch(spark, _windows(texts.filter("unsure IS NOT NULL").select("tid", "words", "unsure"), window), "windows")
     twice = windows.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1")
@@ -233,37 +238,64 @@ def automaton_of(texts: list[bytes]) -> tuple[SuffixAutomaton, dict[bytes, int]]
 def remove_known(spark: SparkSession, docs: DataFrame, reference: DataFrame, window: int = WINDOW, shard_words: int = 200_000) -> DataFrame:
     """docs, with the text's maximal spans of `window` words or more that a text of reference contains removed.
 
-    The reference is fetched and sent in shards of at most shard_words words (a longer text is a shard by itself); spans are
-    judged on the text as it is before any shard: all shards' spans are joined first."""
-    place = docs.columns.index("text")
-    sent, now, size = [], [], 0
-    for row in reference.select("text").toLocalIterator():
-        text = (row["text"] or "").encode()
-        n = len(text.split())
-        if now and size + n > shard_words:
-            sent.append(spark.sparkContext.broadcast(now))
-            now, size = [], 0
-        if n >= window:
-            now.append(text)
-            size += n
-    if now:
-        sent.append(spark.sparkContext.broadcast(now))
+    The reference is cut into pieces that overlap by a window less one word and dealt to shards of about shard_words words. One
+    shard at a time is fetched and sent; a task builds its automaton once. Spans are judged on the text as it is before
+    any shard: all shards' spans are joined first. Columns of docs come back as they were, whatever they are called."""
+    place, row = docs.columns.index("text"), fresh("row", docs)
+    parts = scratch(spark, _pieces(reference, window, max(2 * window, shard_words // 4)), "pieces")
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return docs
+    count = -(-total // shard_words)
+    rows, found = numbered(spark, docs, row), []
+    for k in range(count):
+        shard = sorted(bytes(r["words"]) for r in parts.filter(F.pmod(F.xxhash64("words"), F.lit(count)) == k).select("words").collect())
+        sent = spark.sparkContext.broadcast(shard)
+        found.append(scratch(spark, _known(rows.select(F.col(row).alias("rid"), "text"), sent, window), "spans"))
+        sent.destroy()
+    spans = found[0]
+    for other in found[1:]:
+        spans = spans.unionByName(other)
+    key, gone = fresh("rid", rows), fresh("spans", rows)
+    spans = scratch(spark, spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias(gone)).withColumnRenamed("rid", key), "spans")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    clean = rows.join(spans, rows[row] == spans[key], "left_anti").select(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).cast(pa.large_binary()).to_pylist()
-            words = [(t or b"").split() for t in texts]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for part in sent:
-                shard = automaton_of(part.value)
-                for k, w in enumerate(words):
-                    spans[k] += known_spans(w, shard, window)
-            for k, w in enumerate(words):
-                if spans[k]:
-                    gone = {j for a, b in spans[k] for j in range(a, b)}
-                    texts[k] = b" ".join(x for j, x in enumerate(w) if j not in gone)
-            columns = list(batch.columns)
+            texts = []
+            for text, cut in zip(binaries(batch.column(place)), batch.column(gone).to_pylist(), strict=True):
+                places = {j for a, b in cut for j in range(a, b)}
+                texts.append(b" ".join(w for j, w in enumerate(text.split()) if j not in places))
+            columns = list(batch.columns)[:-1]
             columns[place] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return by_batches(docs, run, docs.schema)
+    return clean.unionByName(by_batches(rows.join(spans, rows[row] == spans[key]).select(*own, gone), run, docs.schema))
+
+
+def _pieces(reference: DataFrame, window: int, most: int) -> DataFrame:
+    """words (joined by a space), n: the texts of a window or more in pieces of at most `most` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, most - window + 1)
+        for batch in batches:
+            texts = [t.split() for t in binaries(batch.column("text"))]
+            found = [w[a : a + step + window - 1] for w in texts for a in range(0, len(w) - window + 1, step)]
+            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(w) for w in found], pa.binary()), pa.array([len(w) for w in found], pa.int64())], names=["words", "n"])
+
+    return by_batches(reference.select("text"), run, "words binary, n long").distinct()
+
+
+def _known(docs: DataFrame, shard, window: int) -> DataFrame:
+    """rid and spans (pairs of words, end exclusive) of the texts that share a window with the shard's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = automaton_of(shard.value)
+        for batch in batches:
+            found = [known_spans(t.split(), automaton, window) for t in binaries(batch.column("text"))]
+            hit = pa.array([bool(f) for f in found])
+            spans = pa.array([[list(x) for x in f] for f in found], pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), spans], names=["rid", "spans"]).filter(hit)
+
+    return by_batches(docs, run, "rid long, spans array<array<long>>")

@@ -84,6 +84,10 @@ def test_known_passages_are_cut_by_automata(spark):
     reference = spark.createDataFrame([(f"start {known}",), (None,), ("short",)], "text string")
     got = substrings.remove_known(spark, docs, reference, window=35, shard_words=10)
     assert rows(got, "doc_id", "text", "lang") == [(1, "a b c", "x"), (2, "", "y"), (3, "a b c", None), (4, None, "z")]
+    clash = docs.withColumnRenamed("lang", "rid").withColumn("row", F.lit(1)).withColumn("spans", F.lit("s"))
+    again = substrings.remove_known(spark, clash, reference, window=35, shard_words=30)
+    assert again.columns == clash.columns and rows(again, "doc_id", "text", "rid") == rows(got, "doc_id", "text", "lang")
+    assert substrings.remove_known(spark, docs, reference.limit(0)).count() == 4
 
 
 def test_empty_tables(spark, documents):

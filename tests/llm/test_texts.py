@@ -163,10 +163,42 @@ def test_long_unseen_words_have_their_whole_probability(spark):
         assert got[k] == pytest.approx(word + math.log10(1 / (n + v)), rel=1e-9)
 
 
-def test_words_outside_the_head_score_alike(spark, corpus, documents, monkeypatch):
+def test_scores_equal_brute_force(spark):
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab", "c"]
+    start = lattice.Lattice(pieces, np.log(np.full(len(pieces), 0.999 / len(pieces))), math.log(0.001 / 256))
+    docs = [(0, "ab ab ba"), (1, "abba c"), (2, None), (3, "AB x\tcc"), (4, "new bab"), (5, "")]
+    learn = {0, 1, 2}
+    p = {x: 0.999 / len(pieces) for x in pieces}
+
+    def paths(text):
+        if not text:
+            return [(1.0, [])]
+        out = [(p[text[:k]] * w, [text[:k], *rest]) for k in range(1, len(text) + 1) if text[:k] in p for w, rest in paths(text[k:])]
+        return out if text[0] in p else out + [((0.001 / 256) ** len(text[0].encode()) * w, rest) for w, rest in paths(text[1:])]
+
+    train = [w for k, t in docs if k in learn for w in (t or "").lower().split()]
+    uses = dict.fromkeys(pieces, 0.0)
+    for word in set(train):
+        found = paths("▁" + word)
+        for w, used in found:
+            for x in used:
+                uses[x] += w / sum(w for w, _ in found)
+    p = {x: 0.999 * ((1 - lattice.OWN) * uses[x] / sum(uses.values()) + lattice.OWN / len(pieces)) for x in pieces}
+    n, v = len(train) + 3, len(set(train)) + 1
+
+    def log10(text):
+        words = (text or "").lower().split()
+        return sum(math.log10((train.count(w) + v * sum(x for x, _ in paths("▁" + w))) / (n + v)) for w in words) + math.log10(3 / (n + v))
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for head in (150_000, 1):
+        got = lattice.score(spark, frame, start, ~F.col("doc_id").isin(*learn), rounds=1, head=head).collect()
+        assert {r["doc_id"]: r["score"] for r in got} == pytest.approx({k: log10(t) for k, t in docs})
+
+
+def test_words_outside_the_head_score_alike(spark, corpus, documents):
     want = rows(lattice.score(spark, documents, VOCABULARY).select("doc_id", F.round("score", 5).alias("s")), "doc_id", "s")
-    monkeypatch.setattr(lattice.head_count, "__defaults__", (20,))
-    assert rows(lattice.score(spark, documents, VOCABULARY).select("doc_id", F.round("score", 5).alias("s")), "doc_id", "s") == want
+    assert rows(lattice.score(spark, documents, VOCABULARY, head=20).select("doc_id", F.round("score", 5).alias("s")), "doc_id", "s") == want
 
 
 def test_ranking_parts_good_from_bad(spark):
