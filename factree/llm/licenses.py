@@ -1,7 +1,9 @@
 """License scans by template markup: each template is compiled to an automaton over words.
 
 In a template, <<beginOptional>> ... <<endOptional>> may be absent and <<var;match=REGEX;most=N>> stands for one to N
-words that each match REGEX whole; all other words must be there exactly. Words are runs of letters, digits and
+words that each match REGEX whole (least=0: or for none); all other words must be there exactly, in order, from the first to the
+last: a license whose clauses are altered or cut off is not accepted. Labels ending in -notice are short statements that name a license, -header the
+notices that files bear, all others whole license texts. Words are runs of letters, digits and
 non-ASCII characters after A-Z are lower-cased, so case, punctuation and line breaks do not count. The automaton has a
 state per word of the template; a match may start wherever the first mandatory or optional word stands, and ends
 at the longest accepting state. Base labels come from three fixed phrases.
@@ -27,18 +29,85 @@ from .base import FOLD, binaries, by_batches
 # Phrases of the base and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Notices and the operative wording of public licenses, by label.
+# Texts and notices of public licenses as templates, by label.
+AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE"
+DEALINGS = "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"
+BSD_BEGIN = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "<<var;match=[0-9a-z];most=1;least=0>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "<<var;match=[0-9a-z];most=1;least=0>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+BSD_NAMES = (
+    "<<var;match=[0-9a-z];most=1;least=0>> Neither the <<var;match=name|names;most=1>> of <<var;match=.+;most=12>> nor the names of <<var;match=its|their;most=1>> contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY <<var;match=.+;most=12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;match=.+;most=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+ISC_BEGIN = "Permission to use, copy, modify, <<var;match=and;most=1>><<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"
+ISC_END = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var;match=.+;most=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL "
+    "<<var;match=.+;most=8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"
+)
 TEMPLATES = {
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<beginOptional>>(the \"Software\")<<endOptional>>, to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom "
+        "the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be "
+        f"included in all copies or substantial portions of the Software. {AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;match=.+;most=8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN "
+        f"AN ACTION OF CONTRACT, TORT OR OTHERWISE, {DEALINGS}"
+    ),
+    "bsd-2-clause": BSD_BEGIN + BSD_END,
+    "bsd-3-clause": BSD_BEGIN + BSD_NAMES + BSD_END,
+    "isc": ISC_BEGIN + ", provided that the above copyright notice and this permission notice appear in all copies." + ISC_END,
+    "0bsd": ISC_BEGIN + "." + ISC_END,
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will <<var;match=.+;most=8>> be held liable for any damages arising from the use of this software. Permission is "
+        "granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1. "
+        "<<endOptional>>The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an <<var;match=acknowledge?ment;most=1>> "
+        "in the product documentation would be appreciated but is not required. <<beginOptional>>2. <<endOptional>>Altered source versions must be plainly marked as such, and must not be misrepresented as being "
+        "the original software. <<beginOptional>>3. <<endOptional>>This notice may not be removed or altered from any source distribution"
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, "
+        "display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+        "following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the "
+        "Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language "
+        f"processor. {AS_IS}, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR "
+        f"OTHERWISE, {DEALINGS}"
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt "
+        f"act of relinquishment in perpetuity of all present and future rights to this software under copyright law. {AS_IS} AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        f"OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, {DEALINGS}"
+    ),
+    "apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use <<var;match=this|these;most=1>> <<var;match=.+;most=3>> except in compliance with the License. You may obtain a copy of the "
+        "License at <<var;match=https?;most=1>>://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
+        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"
+    ),
+    "gpl-header": (
+        "<<var;match=.+;most=4>> is free software<<var;match=you;most=1>> can redistribute it and/or modify it under the terms of the GNU <<var;match=lesser|library|affero;most=1;least=0>> General Public License as "
+        "published by the Free Software Foundation; either version <<var;match=[0-9]+;most=2>> of the License, or (at your option) any later version. <<var;match=.+;most=4>> is distributed in the hope that it will "
+        "be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<var;match=lesser|library|affero;most=1;least=0>> General "
+        "Public License for more details"
+    ),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "<<var;match=https?;most=1>>://<<beginOptional>>www.<<endOptional>>mozilla.org/MPL/2.0/"
+    ),
     "mit-notice": "<<beginOptional>>This software is <<endOptional>><<var;match=released|licensed|distributed|available|provided;most=1>> under the <<beginOptional>>terms of the <<endOptional>>MIT License",
     "apache-2.0-notice": "Licensed under the Apache License<<beginOptional>>,<<endOptional>> Version 2.0 <<beginOptional>>(the \"License\")<<endOptional>>",
     "gpl-notice": "<<beginOptional>>This <<var;match=work|program|software|file|document;most=1>> is <<endOptional>>licensed under the GNU <<beginOptional>>Lesser <<endOptional>>General Public License<<beginOptional>>, version <<var;match=[0-9]+;most=2>> <<beginOptional>>or later<<endOptional>><<endOptional>>",
     "cc-notice": "<<beginOptional>>This work is <<endOptional>>licensed under <<beginOptional>>a <<endOptional>>CC BY<<beginOptional>>-NC<<endOptional>><<beginOptional>>-SA<<endOptional>><<beginOptional>>-ND<<endOptional>> <<var;match=[0-9];most=2>>",
     "creative-commons-notice": "licensed under <<beginOptional>>a <<endOptional>>Creative Commons <<var;match=[a-z]+;most=4>> <<beginOptional>><<var;match=[0-9];most=2>><<endOptional>> <<beginOptional>>International <<endOptional>>License",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files <<beginOptional>>(the \"Software\")<<endOptional>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "public-domain": "This is free and unencumbered software released into the public domain",
 }
 
 MARK = re.compile(r"<<(beginOptional|endOptional|var;[^<>]*)>>")
@@ -69,9 +138,10 @@ class Template:
                 for _ in range(most):
                     self.patterns[self.last] = pattern
                     self.last += 1
-                for k in range(first + 1, self.last):
+                least = int(options.get("least", 1))
+                for k in range(first + min(1, least), self.last):
                     self.empty.setdefault(k, set()).add(self.last)
-                self.mandatory += not opened
+                self.mandatory += not opened and least > 0
         if opened:
             raise ValueError(f"{label}: an optional region is not closed")
         self.begin = self.closure({0})
@@ -113,7 +183,7 @@ class Scanner:
 
     @staticmethod
     def _rarest(t: Template) -> bytes:
-        """The longest word that no empty move can skip."""
+        """The longest word that no empty move can skip, the first of those."""
         skipped = {k for a, ends in t.empty.items() for b in ends for k in range(a, b)}
         return max((w for k, w in t.words.items() if k not in skipped), key=len, default=b"")
 

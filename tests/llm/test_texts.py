@@ -100,6 +100,79 @@ def test_templates_take_only_their_wording():
             licenses.Template("bad", bad)
 
 
+def template_ends(markup, words, start):
+    """All ends of matches of a template from start, by trying every choice."""
+    import re
+
+    parts = [p for p in re.split(r"(<<.*?>>)", markup) if p.strip()]
+
+    def tree(at):
+        out = []
+        while at < len(parts) and parts[at] != "<<endOptional>>":
+            if parts[at] == "<<beginOptional>>":
+                inner, at = tree(at + 1)
+                out.append(("optional", inner))
+            elif parts[at].startswith("<<var"):
+                options = dict(x.split("=", 1) for x in parts[at][2:-2].split(";")[1:])
+                out.append(("var", re.compile(options["match"]), int(options.get("least", 1)), int(options["most"])))
+            else:
+                out += [("word", w) for w in brute.folded(parts[at])]
+            at += 1
+        return out, at
+
+    def ends(nodes, at):
+        if not nodes:
+            return {at}
+        kind, *x = nodes[0]
+        if kind == "word":
+            return ends(nodes[1:], at + 1) if words[at : at + 1] == x else set()
+        if kind == "optional":
+            return {e for a in ends(x[0], at) | {at} for e in ends(nodes[1:], a)}
+        out = set()
+        for n in range(x[1], x[2] + 1):
+            if at + n <= len(words) and all(x[0].fullmatch(w) for w in words[at : at + n]):
+                out |= ends(nodes[1:], at + n)
+        return out
+
+    return ends(tree(0)[0], start)
+
+
+def test_automata_equal_all_choices():
+    pick = random.Random(9)
+    own = {
+        "a": "a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> <<var;match=[a-c];most=2>> d",
+        "b": "<<beginOptional>>a<<endOptional>> b <<var;match=.+;most=3>> c <<beginOptional>>d<<endOptional>>",
+        "c": "<<var;match=a|b;most=2;least=0>> c d <<beginOptional>>a a<<endOptional>><<beginOptional>>b<<endOptional>>",
+    }
+    scanner, found = licenses.Scanner(own), 0
+    for _ in range(2000):
+        words = [pick.choice("abcd") for _ in range(pick.randint(1, 9))]
+        for t in scanner.templates:
+            for start in range(len(words)):
+                want = max(template_ends(own[t.label], words, start), default=None)
+                found += want is not None
+                assert t.accept([w.encode() for w in words], start) == want
+    assert found > 1000
+
+
+def test_whole_licenses_are_accepted_only_whole():
+    scanner = licenses.Scanner()
+    for label, markup in licenses.TEMPLATES.items():
+        text = markup
+        for x in ("<<beginOptional>>", "<<endOptional>>"):
+            text = text.replace(x, " ")
+        fill = {".+": "some holder", "[0-9a-z]": "1", "[0-9]+": "3", "[0-9]": "4 0", "[a-z]+": "attribution", "acknowledge?ment": "acknowledgment", "https?": "https"}
+        text = __import__("re").sub("<<var;match=([^;]*);.*?>>", lambda m: " " + fill.get(m[1], m[1].split("|")[0]) + " ", text)
+        folded = text.encode().translate(licenses.FOLD)
+        found = folded.split()
+        assert label in {t.label for _, _, t in scanner.matched(found, folded)}
+        if not label.endswith("-notice"):
+            for gone in (found[5:], found[:-5], found[:20] + found[25:]):
+                assert label not in {t.label for _, _, t in scanner.matched(gone, b" ".join(gone))}
+    two = " ".join(licenses.TEMPLATES["bsd-2-clause"].replace("<<var;match=.+;most=12>>", "the authors").replace("<<var;match=[0-9a-z];most=1;least=0>>", "1").split())
+    assert scanner.scan(two.encode())[5] == "bsd-2-clause"
+
+
 def test_license_labels_and_scores():
     scan = licenses.Scanner().scan
     text = b"Released under the MIT License. Text. This work is licensed under the GNU General Public License, version 3."
