@@ -69,12 +69,13 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def likely(rows: DataFrame, column, wanted: DataFrame, hashed: str, how: str = "left_semi", buckets: int = 2**20) -> DataFrame:
-    """The rows whose hash falls into a bucket of a wanted hash (left_anti: into none): a broadcast of at most `buckets` numbers,
-    so that an exact join moves less. Where wanted hashes fill all buckets, the exact join does all the work."""
-    name = fresh("bucket", rows)
-    few = wanted.select(F.pmod(F.col(hashed), F.lit(buckets)).cast("int").alias(name)).distinct()
-    return rows.join(F.broadcast(few), F.pmod(column, F.lit(buckets)).cast("int") == few[name], how)
+def likely(rows: DataFrame, column, wanted: DataFrame, hashed: str, how: str = "left_semi", most: int = 2**20) -> DataFrame:
+    """The rows whose hash is a wanted one, as far as a broadcast of at most `most` numbers tells (left_anti: surely none), so that an
+    exact join moves less. Up to `most` wanted rows their hashes are sent, beyond that the buckets that they fall into: where
+    they fill all buckets, the exact join does all the work."""
+    name, buckets = fresh("bucket", rows), 2**62 if wanted.count() <= most else most
+    few = wanted.select(F.pmod(F.col(hashed), F.lit(buckets)).alias(name)).distinct()
+    return rows.join(F.broadcast(few), F.pmod(column, F.lit(buckets)) == few[name], how)
 
 
 def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

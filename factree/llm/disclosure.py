@@ -6,8 +6,8 @@ phone number but its last four. Every word (its edges without marks, lower-cased
 entity is a candidate term, wherever it stands. Over all documents of the corpus, with n documents in which the term occurs and k
 in which both occur, the chance of the entity given the term is k / n, and the term reveals log2(k * N / (n * n_e)) bits about which
 of the N documents' entities is meant (n_e documents have the entity). Terms that reach both thresholds for an entity are spans of
-kind "term" in every document that has the term, with or without the entity itself: they tell it there just as much.
-A word that only its document has tells an entity of that document for certain. sanitised() generalises base hits to their kind,
+kind "term" in every document that has the term: where the entity itself stands, and, if SUPPORT documents or more have both,
+in documents without it, where they tell it just as much. A word that only its document has tells an entity of that document for certain. sanitised() generalises base hits to their kind,
 removes terms whose chance is REMOVE or more and generalises the others to the shape of the word.
 
 Entities that stand in the same documents are counted once, by a hash of 64 bits of their documents. As k is at most n
@@ -40,6 +40,8 @@ PATTERNS = {
 CHANCE, BITS = 0.5, 4.0
 #: Terms of this chance or more are removed, others generalised.
 REMOVE = 0.9
+#: Documents with a term and an entity from which on the term counts outside the entity's documents; one alone is no estimate.
+SUPPORT = 2
 #: Least characters of a term.
 TERM = 3
 #: Characters at the ends of a word that do not belong to the term.
@@ -144,7 +146,7 @@ def find(spark: SparkSession, docs: DataFrame, chance: float = CHANCE, bits: flo
     told = scratch(spark, told.select("pair", F.col("rids").alias("e"), F.col("term").alias("t"), "k", "n", "chance"), "told")
     marks = with_lookup(pairs.select("rid", "pair", "rids", "term"), told, "pair", "k").filter((F.col("rids") == F.col("e")) & (F.col("term") == F.col("t")))
     marks = marks.select("rid", "term", "chance")
-    loose = told.filter("k < n").groupBy(F.col("t").alias("term")).agg(F.first("n").alias("n"), F.max("chance").alias("chance"))
+    loose = told.filter(f"k < n AND k >= {SUPPORT}").groupBy(F.col("t").alias("term")).agg(F.first("n").alias("n"), F.max("chance").alias("chance"))
     loose = scratch(spark, loose.withColumn("hash", F.xxhash64("term")), "loose")
     if not loose.isEmpty():
         words = likely(terms_of(base), F.xxhash64("term"), loose, "hash")

@@ -148,7 +148,7 @@ def wider(kind, value):
     return digits[:6] if kind == "card" else digits[:-4]
 
 
-def disclosed(docs, chance=0.5, bits=4.0, least=3):
+def disclosed(docs, chance=0.5, bits=4.0, least=3, support=2):
     """Spans of terms of each document, from counts of all pairs of a term and an entity; docs by place, ids may repeat."""
     words, base, holders, entities = [], [], {}, {}
     for k, (_, text) in enumerate(docs):
@@ -166,7 +166,7 @@ def disclosed(docs, chance=0.5, bits=4.0, least=3):
         for t, have in holders.items():
             both = len(have & owners)
             if both >= chance * len(have) and both and math.log2(both * len(docs) / (len(have) * len(owners))) >= bits:
-                for k in have:
+                for k in have if both >= support else have & owners:
                     marked[k].add(t)
     return [
         (doc, [(a, b) for a, b, t in words[k] if t in marked[k] and not any(x < b and a < y for _, x, y, _ in base[k])])
