@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Predicate, all_of, predicate_column
 from ..plans.graph import JoinGraph
-from ..sources.shared import scratch
+from ..sources.shared import release, scratch
 from .semiring import Variance
 
 
@@ -75,6 +75,7 @@ class MessageTree:
     def calibrate(self, root: str | None = None) -> None:
         """Leaves to root with identities, where edges allow them, then root to leaves."""
         root = root or self.graph.target_relation
+        self.graph.profile_all()
         for parent, child in reversed(list(self.graph.outward(root))):
             self.send(child, parent, Kind.IDENTITY if self._is_identity(child, parent) else Kind.UNDECIDED)
         self.send_down(root)
@@ -152,7 +153,7 @@ class MessageTree:
         return sent._join(self.filtered(target), sent.messages[path[1], target], path[1], target, "left_semi", "part")
 
     def clean(self) -> None:
-        for message in self.messages.values():
-            if message.rows is not None:
-                message.rows.unpersist()
+        """Forgets the messages, which are lazy, and deletes a lifted table that was written."""
         self.messages.clear()
+        release(*self.frames.values())
+        self.frames.clear()

@@ -122,7 +122,7 @@ class Split:
     value: object  # the threshold, the category, or the tuple of categories that go left
     left: tuple[float, float]
     total: tuple[float, float]
-    temporal: str | None = None  # type of a date or timestamp feature, whose threshold is a number
+    temporal: str | None = None  # type of a date, timestamp or boolean feature, whose threshold is a number
 
     def left_predicate(self, column: Column | str) -> Predicate:
         """Rows that go left; all others, nulls among them unless they are a category, go right."""
@@ -135,6 +135,8 @@ class Split:
 
     def comparable(self, column: Column | str) -> Column:
         column = F.col(column) if isinstance(column, str) else column
+        if self.temporal == "boolean":
+            return column.cast("double")
         if self.temporal == "date":
             return F.unix_date(column).cast("double")
         if self.temporal:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Predicate, all_of
 from ..plans.graph import LCAT, NUM, JoinGraph
-from ..sources.shared import scratch
+from ..sources.shared import release, scratch
 from .semiring import Variance
 from .splits import SLICES, Split, best, long_form
 
@@ -67,6 +67,7 @@ class Grower:
     local: dict[str, str] = field(default_factory=dict)  # relation -> prefix of its features on the fact itself
     number: int = 0
     rows_needed: bool = True  # that fact tells each row's leaf in the end
+    routed: bool = False  # fact is this grower's own: the next routing may delete it
 
     def grow(self, total: Variance) -> Node:
         """A node's best split does not depend on the order in which nodes are split, so whole levels are split first, one
@@ -135,6 +136,7 @@ class Grower:
         if max(n.total.c for n in nodes) > MANY:
             statistics = scratch(self.graph.catalog.spark, statistics, "statistics")
             rows = best(statistics, SLICES).collect()
+            release(statistics)
         else:
             rows = best(statistics).collect()
         names = {k: (r, f, kind) for k, r, f, kind in features}
@@ -144,7 +146,7 @@ class Grower:
                 continue
             relation, feature, kind = names[r["fid"]]
             dtype = dict(self.graph.table(relation).dtypes)[feature]
-            temporal = dtype if kind == NUM and (dtype == "date" or dtype.startswith("timestamp")) else None
+            temporal = dtype if kind == NUM and (dtype in ("date", "boolean") or dtype.startswith("timestamp")) else None
             value = r["num"] if kind == NUM and r["num"] is not None else r["txt"]
             if kind == LCAT:
                 value = tuple(sorted(r["members"], key=lambda x: (x is None, x)))
@@ -218,7 +220,10 @@ class Grower:
             side = F.when(node == n.number, here) if side is None else side.when(node == n.number, here)
         kept = [c for c in self.fact.columns if c != "node"]
         moved = fact.select(*[F.col(f"`{c}`") for c in kept], side.otherwise(node).alias("node"))
-        self.fact = scratch(self.graph.catalog.spark, moved, "routed")
+        before, self.fact = self.fact, scratch(self.graph.catalog.spark, moved, "routed")
+        if self.routed:
+            release(before)
+        self.routed = True
 
     def _with_flags(self, fact: DataFrame, relation: str, flags: Sequence[Column], names: Sequence[str]) -> DataFrame:
         """fact with the flags of the row of relation that each of its rows reaches; null if it reaches none."""

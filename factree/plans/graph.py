@@ -8,6 +8,7 @@ import json
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,12 +87,22 @@ class JoinGraph:
             self.profile(left, right)
 
     def profile(self, left: str, right: str) -> None:
-        """Counts rows by key on both sides and compares the keys, in one job; nulls are keys too."""
-        edge = self.edges[left][right]
-        row = edge_profile(self.table(left), self.table(right), edge.left_keys, edge.right_keys).first()
-        there, back = self.edges[left][right], self.edges[right][left]
-        there.multiplicity, there.missing = row["left_multiplicity"], row["left_missing"]
-        back.multiplicity, back.missing = row["right_multiplicity"], row["right_missing"]
+        """Counts rows by key on both sides and compares the keys; nulls are keys too."""
+        self.profile_all([(left, right)])
+
+    def profile_all(self, pairs: Sequence[tuple[str, str]] | None = None) -> None:
+        """Profiles joins in one job: the given ones, or all on the way from the target that have no profile yet."""
+        if pairs is None:
+            pairs = [(a, b) for a, b in self.outward(self.target_relation or next(iter(self.features))) if self.edges[b][a].multiplicity is None]
+        jobs = []
+        for k, (left, right) in enumerate(pairs):
+            edge = self.edges[left][right]
+            jobs.append(edge_profile(self.table(left), self.table(right), edge.left_keys, edge.right_keys).withColumn("edge", F.lit(k)))
+        for row in reduce(DataFrame.unionByName, jobs).collect() if jobs else ():
+            left, right = pairs[row["edge"]]
+            there, back = self.edges[left][right], self.edges[right][left]
+            there.multiplicity, there.missing = row["left_multiplicity"], row["left_missing"]
+            back.multiplicity, back.missing = row["right_multiplicity"], row["right_missing"]
 
     # looking things up
     def table(self, name: str) -> DataFrame:
@@ -170,14 +181,15 @@ class JoinGraph:
         self._check_columns(self.target_relation, [self.target])
 
     def check_fact(self, strict: bool = True) -> None:
+        target = self.target_relation
+        ways = self.outward(target) if strict else [(target, other) for other in self.edges[target]]
+        self.profile_all([(a, b) for a, b in ways if self.edges[b][a].multiplicity is None])
+
         def walk(at: str, before: str | None) -> None:
-            for other, edge in self.edges[at].items():
+            for other in self.edges[at]:
                 if other == before:
                     continue
                 back = self.edges[other][at]
-                if back.multiplicity is None:
-                    self.profile(at, other)
-                    edge, back = self.edges[at][other], self.edges[other][at]
                 if back.multiplicity > 1:
                     raise GraphError(f"{other} has up to {back.multiplicity} rows for a key of {at}")
                 if back.missing:
@@ -190,9 +202,8 @@ class JoinGraph:
     def not_functional(self) -> list[tuple[str, str]]:
         """Edges away from the target along which a row may meet several; edges without a profile get one."""
         found = []
+        self.profile_all()
         for a, b in self.outward():
-            if self.edges[b][a].multiplicity is None:
-                self.profile(a, b)
             if self.edges[b][a].multiplicity > 1:
                 found.append((a, b))
         return found
@@ -241,8 +252,10 @@ class JoinGraph:
             out.append(before[out[-1]])
         return out[::-1]
 
-    def full_join(self, qualified: bool = False, root: str | None = None) -> DataFrame:
-        """All relations joined; useful columns only, named relation.column if qualified. Rows whose keys have no match go."""
+    def full_join(self, qualified: bool = False, root: str | None = None, how: str = "inner") -> DataFrame:
+        """All relations joined; useful columns only, named relation.column if qualified. Keys are compared null-safe, as in training.
+
+        Rows of root whose keys have no match go (inner) or have nulls in the other relations' columns (left)."""
         root = root or self.target_relation or next(iter(self.features))
 
         def columns(name: str) -> DataFrame:
@@ -251,8 +264,8 @@ class JoinGraph:
         rows = columns(root)
         for a, b in self.outward(root):
             edge = self.edges[a][b]
-            on = [F.col(f"`{a}.{x}`") == F.col(f"`{b}.{y}`") for x, y in zip(edge.left_keys, edge.right_keys, strict=True)]
-            rows = rows.join(columns(b), all_of(on), "inner")
+            on = [F.col(f"`{a}.{x}`").eqNullSafe(F.col(f"`{b}.{y}`")) for x, y in zip(edge.left_keys, edge.right_keys, strict=True)]
+            rows = rows.join(columns(b), all_of(on), how)
         if qualified:
             return rows
         shown: dict[str, str] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import all_of
 from ..operators.semiring import Variance, totals
 from ..operators.trees import GROWTHS, Grower, Node, leaves, prediction
-from ..sources.shared import scratch
+from ..sources.shared import release, scratch
 from .graph import GraphError, JoinGraph
 from .rename import free_name, without_reserved
 
@@ -30,7 +30,9 @@ class DummyModel:
         self.names: dict[tuple[str, str], str] = {}
 
     def fit(self, graph: JoinGraph, strict: bool = True) -> DummyModel:
-        """strict: see JoinGraph.check. The graph stays as it is; a second call forgets the first."""
+        """strict: see JoinGraph.check. The graph stays as it is; a second call forgets the first.
+
+        Rows whose target is null have nothing to teach and are left out, as by AVG; predictions are made for them too."""
         self.reset()
         graph.check(strict)
         graph = graph.copy()
@@ -40,7 +42,7 @@ class DummyModel:
 
     def _fit(self, graph: JoinGraph) -> None:
         y = F.col(f"`{graph.target}`").cast("double")
-        total = totals(graph.table(graph.target_relation).select(y.alias("s"), F.lit(1).alias("c")))
+        total = totals(graph.table(graph.target_relation).filter(y.isNotNull()).select(y.alias("s"), F.lit(1).alias("c")))
         self.constant, self.count = total.mean, total.c
 
     # scoring
@@ -53,7 +55,7 @@ class DummyModel:
         return out
 
     def predict(self, data: JoinGraph | DataFrame, input_mode: str = JOIN_GRAPH, output_mode: str = "DATAFRAME", qualified: bool = False):
-        """input_mode: JOIN_GRAPH joins the graph's relations, FULL_JOIN_JG takes the graph's target relation as the full join,
+        """input_mode: JOIN_GRAPH joins the graph's relations (every row of the target's relation gets a prediction), FULL_JOIN_JG takes the graph's target relation as the full join,
         FULL_JOIN_DF takes a DataFrame. output_mode: DATAFRAME (lazy), NUMPY (in the order of the target's rows) or
         WRITE_TO_TABLE (the name of a written table with the columns prediction and target)."""
         order = None
@@ -151,7 +153,7 @@ def _full_join(graph: JoinGraph, frames: dict[str, DataFrame]) -> DataFrame:
     kept = {name: graph.catalog.tables.get(name) for name in frames}
     graph.catalog.tables.update(frames)
     try:
-        return graph.full_join(qualified=True)
+        return graph.full_join(qualified=True, how="left")
     finally:
         graph.catalog.tables.update({n: f for n, f in kept.items() if f is not None})
 
@@ -186,9 +188,15 @@ class _Lifted:
 
 
 class DecisionTree(DummyModel):
-    """A regression tree. growth: bestfirst (greatest gain next), depthwise (stack) or levelwise (queue); num_leaves bounds the leaves."""
+    """A regression tree. growth: bestfirst (greatest gain next), depthwise (stack) or levelwise (queue); num_leaves bounds the leaves.
+
+    debug, partition_early and enable_batch_optimization are taken by all models and change nothing: the fact is always
+    partitioned by a column (its rows' tree node), and the splits of all nodes and features are always found in one job."""
 
-    def __init__(self, num_leaves: int = 31, learning_rate: float = 1, max_depth: int = 6, subsample: float = 1, growth: str = "bestfirst", seed: int = 0):
+    def __init__(
+        self, num_leaves: int = 31, learning_rate: float = 1, max_depth: int = 6, subsample: float = 1, growth: str = "bestfirst",
+        debug: bool = False, partition_early: bool = True, enable_batch_optimization: bool = False, seed: int = 0,
+    ):
         self.options = _Options(num_leaves, learning_rate, max_depth, subsample, growth, seed)
         self.options.check()
         super().__init__()
@@ -196,7 +204,7 @@ class DecisionTree(DummyModel):
     def _fit(self, graph: JoinGraph) -> None:
         lifted = self._lift(graph, self.options.subsample, self.options.seed)
         self.constant, self.count = lifted.mean, lifted.total.c
-        self._train(lifted, self.options.learning_rate, rows_needed=False)
+        release(self._train(lifted, self.options.learning_rate, rows_needed=False), lifted.rows)
 
     def _lift(self, graph: JoinGraph, subsample: float, seed: int) -> _Lifted:
         """Samples rows, subtracts their mean, and leaves no column called like the engine's own."""
@@ -206,11 +214,12 @@ class DecisionTree(DummyModel):
         if subsample < 1:
             rows = scratch(graph.catalog.spark, rows.sample(withReplacement=False, fraction=subsample, seed=seed), "sample")
         y = F.col(f"`{graph.target}`").cast("double")
+        rows = rows.filter(y.isNotNull())
         total = totals(rows.select(y.alias("s"), F.lit(1).alias("c")))
         if not total.c:
             raise GraphError("there is no row to learn from")
         columns = [c for c in graph.useful_columns(target) if c != graph.target or c in [*graph.keys_of(target), *graph.features[target]]]
-        rows = rows.select((F.coalesce(y, F.lit(total.mean)) - F.lit(total.mean)).alias("s"), F.lit(1).cast("long").alias("c"), *[F.col(f"`{c}`") for c in columns])
+        rows = rows.select((y - F.lit(total.mean)).alias("s"), F.lit(1).cast("long").alias("c"), *[F.col(f"`{c}`") for c in columns])
         # along joins that are not N:1 a row counts once for each partner: only those relations are joined
         local: dict[str, str] = {}
         for a, b in graph.not_functional():
@@ -246,8 +255,11 @@ class DecisionTree(DummyModel):
 class GradientBoosting(DecisionTree):
     """Trees one after the other, each on what the others left."""
 
-    def __init__(self, num_leaves: int = 31, learning_rate: float = 1, max_depth: int = 6, n_estimators: int = 1, growth: str = "bestfirst", seed: int = 0):
-        super().__init__(num_leaves, learning_rate, max_depth, 1, growth, seed)
+    def __init__(
+        self, num_leaves: int = 31, learning_rate: float = 1, max_depth: int = 6, n_estimators: int = 1,
+        debug: bool = False, partition_early: bool = False, enable_batch_optimization: bool = False, growth: str = "bestfirst", seed: int = 0,
+    ):
+        super().__init__(num_leaves, learning_rate, max_depth, 1, growth, debug, partition_early, enable_batch_optimization, seed)
         self.n_estimators = n_estimators
 
     def _fit(self, graph: JoinGraph) -> None:
@@ -256,7 +268,9 @@ class GradientBoosting(DecisionTree):
         for k in range(self.n_estimators):
             rows = self._train(lifted, self.options.learning_rate, rows_needed=k + 1 < self.n_estimators)
             if k + 1 < self.n_estimators:
+                before = lifted.rows
                 lifted.rows = scratch(lifted.graph.catalog.spark, self.residuals(rows, *self.trees[-1]), "residuals")
+                release(before, rows)
                 lifted.total = totals(lifted.rows)
 
     @staticmethod
@@ -275,8 +289,11 @@ class GradientBoosting(DecisionTree):
 class RandomForest(DecisionTree):
     """The average of trees on samples of the rows; the constant is the average of the samples' means."""
 
-    def __init__(self, num_leaves: int = 31, learning_rate: float = 1, max_depth: int = 6, subsample: float = 1, n_estimators: int = 1, growth: str = "bestfirst", seed: int = 0):
-        super().__init__(num_leaves, 1 / n_estimators, max_depth, subsample, growth, seed)
+    def __init__(
+        self, num_leaves: int = 31, learning_rate: float = 1, max_depth: int = 6, subsample: float = 1, n_estimators: int = 1,
+        debug: bool = False, partition_early: bool = False, enable_batch_optimization: bool = False, growth: str = "bestfirst", seed: int = 0,
+    ):
+        super().__init__(num_leaves, 1 / n_estimators, max_depth, subsample, growth, debug, partition_early, enable_batch_optimization, seed)
         self.n_estimators = n_estimators
 
     def _fit(self, graph: JoinGraph) -> None:
@@ -285,5 +302,5 @@ class RandomForest(DecisionTree):
             lifted = self._lift(graph, self.options.subsample, self.options.seed + k)
             means.append(lifted.mean)
             self.count = lifted.total.c
-            self._train(lifted, 1 / self.n_estimators, rows_needed=False)
+            release(self._train(lifted, 1 / self.n_estimators, rows_needed=False), lifted.rows)
         self.constant = sum(means) / len(means)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expressions import Attribute, Expression, Op, Predicate, Test
 from .operators import splits
+from .operators import tables as tables_of
 from .operators.messages import Kind, MessageTree
 from .operators.semiring import Average, Variance
 from .operators.trees import Grower, leaves
@@ -58,14 +59,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def star(spark: SparkSession, sf_dir: str, X: dict = NUMERIC, categorical: dict | None = None, one_vs_rest: dict | None = None, y: str = "l_extendedprice") -> JoinGraph:
-    """The graph of JOINS; joins are profiled by check() when a model is trained."""
+    """The graph of JOINS; joins are profiled when a model is trained or messages are calibrated, all in one job."""
     graph = JoinGraph.of(catalog(spark, sf_dir))
     relations = ["lineitem", "orders", "part", "supplier", "customer", "nation", "region"]
     for r in relations:
         graph.add_relation(r, X.get(r, []), y if r == "lineitem" else None, (categorical or {}).get(r, []), (one_vs_rest or {}).get(r, []))
     for a, b, k, m in JOINS:
         graph.add_join(a, b, [k], [m], profile=False)
-        graph.edges[b][a].multiplicity, graph.edges[b][a].missing = 1, 0  # known of these tables; edge_profile_* measure it
     return graph
 
 
@@ -587,18 +587,17 @@ for _kind in ("UNION", "UNION ALL", "INTERSECT", "INTERSECT ALL", "EXCEPT", "EXC
 @query("UNPIVOT (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_acctbal FROM customer) ON c_nationkey, c_acctbal INTO NAME feature VALUE value")
 def melt(spark, sf_dir):
     table = catalog(spark, sf_dir).table("customer").withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
-    return table.unpivot("c_custkey", ["c_nationkey", "c_acctbal"], "feature", "value").select("c_custkey", "feature", "value")
+    return tables_of.melt(table, ["c_custkey"], ["c_nationkey", "c_acctbal"])
 
 
 @query("SELECT c_nationkey, c_custkey, c_acctbal FROM customer QUALIFY ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1")
 def top_one_per_group(spark, sf_dir):
-    top = F.max_by(F.struct("c_custkey", "c_acctbal"), F.struct("c_acctbal", -F.col("c_custkey"))).alias("t")
-    return catalog(spark, sf_dir).table("customer").groupBy("c_nationkey").agg(top).select("c_nationkey", "t.*")
+    return tables_of.top_of_each(catalog(spark, sf_dir).table("customer"), ["c_nationkey"], "c_acctbal", ["c_custkey"], ["c_custkey", "c_acctbal"])
 
 
 @query("SELECT c_custkey, CAST(ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS at FROM customer")
 def count_within_group(spark, sf_dir):
-    return catalog(spark, sf_dir).table("customer").select("c_custkey", (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).alias("at"))
+    return tables_of.numbered_within(catalog(spark, sf_dir).table("customer"), ["c_nationkey"], ["c_custkey"]).select("c_custkey", "at")
 
 
 @query("SELECT c_custkey, ROUND(c_acctbal + CASE WHEN c_acctbal <= 100 THEN 1 ELSE 2 END, 2) AS prediction FROM customer")
@@ -624,3 +623,42 @@ def scoring_joined_rows(spark, sf_dir):
     graph = star(spark, sf_dir)
     model = DecisionTree(num_leaves=2, max_depth=1).fit(graph)
     return score(graph.full_join(), model).agg(F.round(F.sum("prediction"), 0).alias("total"), F.count("*").alias("n"))
+
+
+# booleans, null targets, keys without a match
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders with a boolean feature and a target that is null in a fifth of the rows."""
+    y = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")).alias("y")
+    return catalog(spark, sf_dir).table("orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "O").alias("is_open"), y)
+
+
+@query("SELECT ROUND(AVG(y), 4) AS mean, COUNT(y) AS n FROM (SELECT CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS y FROM orders)")
+def dummy_mean_of_null_targets(spark, sf_dir):
+    graph = JoinGraph.of(spark)
+    graph.add_relation("orders", [], "y", source=_orders(spark, sf_dir))
+    model = DummyModel().fit(graph)
+    return one_row(spark, mean=round(model.constant, 4), n=model.count)
+
+
+@query("SELECT o_orderkey, ROUND(AVG(CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END) OVER (PARTITION BY o_orderstatus = 'O'), 3) AS prediction FROM orders")
+def boolean_feature(spark, sf_dir):
+    """One cut by a boolean; rows without a target are scored, but teach nothing."""
+    graph = JoinGraph.of(spark)
+    graph.add_relation("orders", ["is_open"], "y", source=_orders(spark, sf_dir))
+    model = DecisionTree(num_leaves=2, max_depth=1).fit(graph)
+    return score(graph.table("orders"), model).select("o_orderkey", F.round("prediction", 3).alias("prediction"))
+
+
+@query("SELECT o_orderkey, ROUND((SELECT AVG(o_totalprice) FROM orders), 3) AS prediction FROM orders")
+def scores_of_unmatched_keys(spark, sf_dir):
+    """Facts whose keys have no match in a dimension (of which two thirds are left) are scored too."""
+    graph = star(spark, sf_dir)
+    orders, customers = graph.table("orders"), graph.table("customer").filter("c_custkey % 3 > 0")
+    graph = JoinGraph.of(spark)
+    graph.add_relation("orders", [], "o_totalprice", source=orders)
+    model = DummyModel().fit(graph)
+    graph.add_relation("customer", ["c_acctbal"], source=customers)
+    graph.add_join("orders", "customer", ["o_custkey"], ["c_custkey"], profile=False)
+    return score_facts(orders, graph, model).select("o_orderkey", F.round("prediction", 3).alias("prediction"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import all_of
-from .shared import scratch
+from .shared import release, scratch
 
 TEMPORARY = "factree_tmp_"
 
@@ -93,7 +93,7 @@ class Catalog:
         self._own_only(name)
         df = self.tables.pop(name, None)
         if df is not None:
-            df.unpersist()
+            release(df)
         self.spark.catalog.dropTempView(name)
 
     def rename_column(self, name: str, old: str, new: str) -> None:

@@ -1,5 +1,6 @@
 """Small relational fixtures."""
 
+# Rows and column names of small tables that results must be equal on.
 R = ("a int, b int, d int, h double", [(1, 1, 1, 1.0), (2, 1, 2, 3.0), (1, 2, 1, 1.0), (2, 2, 2, 2.0), (2, 3, 4, 6.0)])
 ONE_TO_MANY = {
     "R": R,

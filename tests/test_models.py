@@ -258,3 +258,35 @@ def test_sliced_prefix_sums_equal_whole_ones(spark):
     rounded = lambda df: sorted(((*r[:3], *(round(x, 4) if isinstance(x, float) else x for x in r[3:])) for r in df.select("node", "fid", "num", "txt", "ps", "pc", "g", "h", "gain").collect()), key=repr)
     for slices in (1, 7, 512):
         assert rounded(splits.curve(found, slices)) == rounded(splits.curve(found))
+
+
+def test_constructors_take_the_options_that_change_nothing(spark):
+    graph = JoinGraph.of(spark)
+    graph.add_relation("r", ["flag"], "y", source=spark.createDataFrame([(True, 1.0), (True, 3.0), (False, 8.0), (None, 9.0), (False, None)], "flag boolean, y double"))
+    for model in (DecisionTree(4, 1, 2, 1, "bestfirst", True, True, True), GradientBoosting(4, 1, 2, 1, debug=True, partition_early=True), RandomForest(max_depth=2, enable_batch_optimization=True)):
+        model.fit(graph)
+        assert model.constant == 5.25 and model.count == 4
+        found = sorted(r[0] for r in model.predict(graph).select("prediction").collect())
+        assert found == pytest.approx([2.0, 2.0, 8.0, 8.0, 9.0])
+
+
+def test_every_row_of_the_target_is_predicted(spark):
+    graph = JoinGraph.of(spark)
+    graph.add_relation("r", ["a"], "y", source=spark.createDataFrame([(1, 1, 1.0), (2, None, 3.0), (3, 7, 8.0)], "a int, k int, y double"))
+    model = DummyModel().fit(graph)
+    graph.add_relation("d", ["b"], source=spark.createDataFrame([(1, 5), (None, 6)], "k int, b int"))
+    graph.add_join("r", "d", ["k"], ["k"])
+    assert model.predict(graph).count() == 3 and graph.full_join().count() == 2
+
+
+def test_renames_can_be_replayed(spark):
+    from factree.plans.rename import replay
+
+    graph = JoinGraph.of(spark)
+    graph.add_relation("r", ["s"], "c", source=spark.createDataFrame([(1, 2.0)], "s int, c double"))
+    renamed, back = without_reserved(graph)
+    again = replay(graph, history(back))
+    assert again.features == renamed.features and again.table("r").columns == renamed.table("r").columns
+    assert replay(again, history(back)).table("r").columns == renamed.table("r").columns and graph.table("r").columns == ["s", "c"]
+    with pytest.raises(GraphError):
+        replay(graph, '[{"relation": "q", "old": "a", "new": "b"}]')
