@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Predicate, Test, all_of
 from ..plans.graph import CAT, LCAT, NUM
+from ..sources.shared import scratch
 
 #: Slices of a feature whose prefix sums are made in parts.
 SLICES = 512
@@ -69,36 +70,47 @@ def prefix_sums(found: DataFrame, by: Sequence[str], order: Sequence[Column], s:
     return found.select("*", *columns)
 
 
-def sliced_prefix_sums(found: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, slices: int) -> DataFrame:
-    """Like prefix_sums, but no task gets all rows of a group: rows are cut into slices of equal width of `value`, slices are
-    summed with map-side combine, and only those sums and each slice by itself are put in order. Nulls are the last slice."""
-    low, high = F.min(value).alias("__low"), F.max(value).alias("__high")
-    bounds = found.groupBy(*by).agg(low, high, F.sum("s").alias("g"), F.sum("c").alias("h"))
-    place = F.floor((F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * slices)
-    place = F.when(F.col(value).isNull(), slices + 1).when(F.col("__high") > F.col("__low"), place).otherwise(0)
-    rows = found.join(F.broadcast(bounds), on=all_of([found[b].eqNullSafe(bounds[b]) for b in by])).drop(*[bounds[b] for b in by])
-    rows = rows.withColumn("__slice", place.cast("int")).drop("__low", "__high")
-    sums = rows.groupBy(*by, "__slice").agg(F.sum("s").alias("__s"), F.sum("c").alias("__c"))
-    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__slice").alias("__at"), *[F.coalesce(F.sum(f"__{x}").over(before), F.lit(0)).alias(f"__before_{x}") for x in "sc"])
+def in_order(found: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """found with mean, the mean of LCAT categories, and the order of a feature's values; other strings go by themselves."""
+    ordered = F.col("kind") == LCAT
+    found = found.withColumn("mean", F.when(ordered, F.col("s").cast("double") / F.col("c")))
+    text = F.when(~ordered, F.col("txt"))
+    return found, [F.col("mean").asc_nulls_last(), F.col("num").asc_nulls_last(), text.asc_nulls_last()]
+
+
+def in_slices(found: DataFrame, slices: int = SLICES, by: Sequence[str] = ("node", "fid")) -> DataFrame:
+    """found as a written table with __slice, the range of all its rows in order that a row is in.
+
+    Ranges are cut at sampled quantiles of (by, order), so they are of about equal size however values and groups are spread; ties
+    share a slice. The caller releases the table."""
+    rows, order = in_order(found)
+    rows = rows.repartitionByRange(slices, *by, *order).withColumn("__slice", F.spark_partition_id())
+    return scratch(found.sparkSession, rows.drop("mean"), "slices")
+
+
+def sliced_prefix_sums(found: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Like prefix_sums, for rows of in_slices(): no task gets all rows of a group. Slices are summed with map-side combine, and only
+    those sums and each slice by itself are put in order."""
+    sums = found.groupBy(*by, "__slice").agg(F.sum("s").alias("__s"), F.sum("c").alias("__c"))
+    before, whole = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    starts = [F.coalesce(F.sum(f"__{x}").over(before), F.lit(0)).alias(f"__before_{x}") for x in "sc"]
+    totals = [F.sum("__s").over(whole).alias("g"), F.sum("__c").over(whole).alias("h")]
+    sums = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__slice").alias("__at"), *starts, *totals)
     running = Window.partitionBy(*by, "__slice").orderBy(*order)
-    rows = rows.select("*", F.sum("s").over(running).alias("__ps"), F.sum("c").over(running).alias("__pc"))
-    rows = rows.join(starts, all_of([*[rows[b].eqNullSafe(F.col(f"__{b}")) for b in by], F.col("__slice") == F.col("__at")]))
+    rows = found.select("*", F.sum("s").over(running).alias("__ps"), F.sum("c").over(running).alias("__pc"))
+    rows = rows.join(sums, all_of([*[F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by], F.col("__slice") == F.col("__at")]))
     rows = rows.withColumn("ps", F.col("__ps") + F.col("__before_s")).withColumn("pc", F.col("__pc") + F.col("__before_c"))
     return rows.drop(*[c for c in rows.columns if c.startswith("__")])
 
 
 def curve(found: DataFrame, slices: int = 0) -> DataFrame:
-    """Every possible cut with its left side (ps, pc), totals (g, h) and gain. slices: for rows that are written and many."""
-    ordered = F.col("kind") == LCAT
-    found = found.withColumn("mean", F.when(ordered, F.col("s").cast("double") / F.col("c")))
-    text = F.when(~ordered, F.col("txt"))
-    order = [F.col("mean").asc_nulls_last(), F.col("num").asc_nulls_last(), text.asc_nulls_last()]
+    """Every possible cut with its left side (ps, pc), totals (g, h) and gain. slices: prefix sums are made in so many parts, as they
+    are for rows of in_slices()."""
     if slices:
-        found = found.withColumn("position", F.coalesce("mean", "num"))  # strings in order of value stay in one slice
-        sums = sliced_prefix_sums(found, ["node", "fid"], order, "position", slices).drop("position")
-    else:
-        sums = prefix_sums(found, ["node", "fid"], order)
+        found = in_slices(found, slices)
+    found, order = in_order(found)
+    make = sliced_prefix_sums if "__slice" in found.columns else prefix_sums
+    sums = make(found, ["node", "fid"], order)
     alone = F.col("kind") == CAT
     sums = sums.withColumn("ps", F.when(alone, F.col("s")).otherwise(F.col("ps"))).withColumn("pc", F.when(alone, F.col("c")).otherwise(F.col("pc")))
     return sums.withColumn("gain", gain(F.col("ps"), F.col("pc"), F.col("g"), F.col("h")))

@@ -1,6 +1,7 @@
 """Growing one regression tree over a join graph, all open nodes of a step in one job.
 
-The target's table carries s (residual), c and node, the tree node of each row. A step sums (node, key) on the way to
+The target's table carries s (residual), c and node, the tree node of each row (an expression over the table as last
+written). A step sums (node, key) on the way to
 each relation with features, joins the sums with that relation, puts all features in long form and finds the
 best cut of every node and feature at once: the number of jobs depends on the depth, not on nodes or features. Since a row's node is
 carried along, no predicate is applied again on other relations. The full join is never built: a relation meets
@@ -20,11 +21,13 @@ from ..functions.expressions import Predicate, all_of
 from ..plans.graph import LCAT, NUM, JoinGraph
 from ..sources.shared import release, scratch
 from .semiring import Variance
-from .splits import SLICES, Split, best, long_form
+from .splits import SLICES, Split, best, in_slices, long_form
 
 GROWTHS = ("bestfirst", "depthwise", "levelwise")
 #: Most nodes of a level that is split ahead.
 AHEAD = 1024
+#: Splits after which the fact is written with its new nodes.
+PENDING = 64
 #: Rows of a node from which on its features' prefix sums are made in slices.
 MANY = 20_000_000
 
@@ -67,7 +70,12 @@ class Grower:
     local: dict[str, str] = field(default_factory=dict)  # relation -> prefix of its features on the fact itself
     number: int = 0
     rows_needed: bool = True  # that fact tells each row's leaf in the end
-    routed: bool = False  # fact is this grower's own: the next routing may delete it
+    base: DataFrame = field(init=False)  # the fact as last written
+    pending: list[Node] = field(default_factory=list)  # split nodes whose numbers rows of base still have
+    routed: bool = False  # base is this grower's own: the next writing may delete it
+
+    def __post_init__(self) -> None:
+        self.base = self.fact
 
     def grow(self, total: Variance) -> Node:
         """A node's best split does not depend on the order in which nodes are split, so whole levels are split first, one
@@ -134,8 +142,8 @@ class Grower:
         by_number = {n.number: n for n in nodes}
         statistics = self.statistics(list(by_number))
         if max(n.total.c for n in nodes) > MANY:
-            statistics = scratch(self.graph.catalog.spark, statistics, "statistics")
-            rows = best(statistics, SLICES).collect()
+            statistics = in_slices(statistics, SLICES)
+            rows = best(statistics).collect()
             release(statistics)
         else:
             rows = best(statistics).collect()
@@ -197,33 +205,50 @@ class Grower:
     def _route(self, batch: Sequence[Node]) -> None:
         """Rows of split nodes get the number of the child on their side.
 
-        Splits of one relation reach the fact by one join: its rows, with a flag for each split, are joined hop by hop. Keys
+        The fact is not written for that: node becomes an expression over the last written fact, so a level costs no more than
+        broadcast joins with the relations that were split. It is written after PENDING splits, which keeps the expression
+        short, and when a split relation is too large for a broadcast, since every reader would shuffle the fact to meet it."""
+        self.pending += batch
+        self.fact, large = self._routed()
+        if large or len(self.pending) > PENDING:
+            before, self.base = self.base, scratch(self.graph.catalog.spark, self.fact, "routed")
+            if self.routed:
+                release(before)
+            self.fact, self.routed, self.pending = self.base, True, []
+
+    def _routed(self) -> tuple[DataFrame, bool]:
+        """The base with each row's node after the pending splits, and whether it meets a relation too large for a broadcast.
+
+        All splits of one relation reach the fact by one join: its rows, with a flag for each split, are joined hop by hop. Keys
         are unique on the way, so nothing is summed and a key that very many rows of the fact have can be split."""
-        target, fact = self.graph.target_relation, self.fact
-        remote: dict[str, list[int]] = {}
-        for k, n in enumerate(batch):
-            if n.found.relation != target and n.found.relation not in self.local:
-                remote.setdefault(n.found.relation, []).append(k)
-        for relation, places in remote.items():
-            flags = [batch[k].found.goes_left(F.col(f"`{batch[k].found.feature}`")).alias(f"__left{k}") for k in places]
-            fact = self._with_flags(fact, relation, flags, [f"__left{k}" for k in places])
-        node = F.col("node")
-        side: Column | None = None
-        for k, n in enumerate(batch):
-            split = n.found
-            if split.relation in remote:
-                left = F.coalesce(F.col(f"__left{k}"), F.lit(False))
+        fact, large = self.base, False
+        split = {n.number: n for n in self.pending}
+        remote: dict[str, list[Node]] = {}
+        for n in self.pending:
+            if n.found.relation != self.graph.target_relation and n.found.relation not in self.local:
+                remote.setdefault(n.found.relation, []).append(n)
+        for relation, nodes in remote.items():
+            flags = [n.found.goes_left(F.col(f"`{n.found.feature}`")).alias(f"__left{n.number}") for n in nodes]
+            large = large or too_large(self.graph.table(relation).select(*flags))
+            fact = self._with_flags(fact, relation, flags, [f"__left{n.number}" for n in nodes])
+
+        def place(n: Node) -> Column:
+            if n.number not in split:
+                return F.lit(n.number)
+            if n.found.relation in remote:
+                left = F.coalesce(F.col(f"__left{n.number}"), F.lit(False))
             else:
-                left = split.goes_left(F.col(f"`{self.local.get(split.relation, '')}{split.feature}`"))
+                left = n.found.goes_left(F.col(f"`{self.local.get(n.found.relation, '')}{n.found.feature}`"))
             one, two = n.children
-            here = F.when(left, F.lit(one.number)).otherwise(F.lit(two.number))
-            side = F.when(node == n.number, here) if side is None else side.when(node == n.number, here)
-        kept = [c for c in self.fact.columns if c != "node"]
-        moved = fact.select(*[F.col(f"`{c}`") for c in kept], side.otherwise(node).alias("node"))
-        before, self.fact = self.fact, scratch(self.graph.catalog.spark, moved, "routed")
-        if self.routed:
-            release(before)
-        self.routed = True
+            return F.when(left, place(one)).otherwise(place(two))
+
+        node = F.col("node")
+        side: Column | None = None
+        for n in self.pending:
+            if n.parent is None or n.parent.number not in split:
+                side = F.when(node == n.number, place(n)) if side is None else side.when(node == n.number, place(n))
+        kept = [F.col(f"`{c}`") for c in self.base.columns if c != "node"]
+        return fact.select(*kept, side.otherwise(node).alias("node")), large
 
     def _with_flags(self, fact: DataFrame, relation: str, flags: Sequence[Column], names: Sequence[str]) -> DataFrame:
         """fact with the flags of the row of relation that each of its rows reaches; null if it reaches none."""
@@ -243,6 +268,12 @@ class Grower:
         raise AssertionError("a relation away from the fact has a path to it")
 
 
+def too_large(rows: DataFrame) -> bool:
+    """Catalyst estimates more bytes than it would broadcast by itself."""
+    most = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most
+
+
 def leaves(root: Node) -> list[Node]:
     return [root] if root.children is None else [x for c in root.children for x in leaves(c)]
 

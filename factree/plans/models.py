@@ -204,7 +204,7 @@ class DecisionTree(DummyModel):
     def _fit(self, graph: JoinGraph) -> None:
         lifted = self._lift(graph, self.options.subsample, self.options.seed)
         self.constant, self.count = lifted.mean, lifted.total.c
-        release(self._train(lifted, self.options.learning_rate, rows_needed=False), lifted.rows)
+        release(self._train(lifted, self.options.learning_rate, rows_needed=False).base, lifted.rows)
 
     def _lift(self, graph: JoinGraph, subsample: float, seed: int) -> _Lifted:
         """Samples rows, subtracts their mean, and leaves no column called like the engine's own."""
@@ -243,13 +243,13 @@ class DecisionTree(DummyModel):
         on = [F.col(f"`{local.get(before, '')}{x}`").eqNullSafe(F.col(f"`{name}__{y}`")) for x, y in zip(edge.left_keys, edge.right_keys, strict=True)]
         return rows.join(there, all_of(on), "inner")
 
-    def _train(self, lifted: _Lifted, rate: float, rows_needed: bool = True) -> DataFrame:
-        """Adds a tree; returns the rows with their leaf in node, if they are needed."""
+    def _train(self, lifted: _Lifted, rate: float, rows_needed: bool = True) -> Grower:
+        """Adds a tree; the grower's fact has each row's leaf in node, if that is needed."""
         o = self.options
         grower = Grower(lifted.graph, lifted.rows, o.num_leaves, o.max_depth, o.growth, lifted.local, rows_needed=rows_needed)
         root = grower.grow(lifted.total)
         self.trees.append((root, rate))
-        return grower.fact
+        return grower
 
 
 class GradientBoosting(DecisionTree):
@@ -266,11 +266,11 @@ class GradientBoosting(DecisionTree):
         lifted = self._lift(graph, 1, self.options.seed)
         self.constant, self.count = lifted.mean, lifted.total.c
         for k in range(self.n_estimators):
-            rows = self._train(lifted, self.options.learning_rate, rows_needed=k + 1 < self.n_estimators)
+            grower = self._train(lifted, self.options.learning_rate, rows_needed=k + 1 < self.n_estimators)
             if k + 1 < self.n_estimators:
                 before = lifted.rows
-                lifted.rows = scratch(lifted.graph.catalog.spark, self.residuals(rows, *self.trees[-1]), "residuals")
-                release(before, rows)
+                lifted.rows = scratch(lifted.graph.catalog.spark, self.residuals(grower.fact, *self.trees[-1]), "residuals")
+                release(before, grower.base)
                 lifted.total = totals(lifted.rows)
 
     @staticmethod
@@ -302,5 +302,5 @@ class RandomForest(DecisionTree):
             lifted = self._lift(graph, self.options.subsample, self.options.seed + k)
             means.append(lifted.mean)
             self.count = lifted.total.c
-            release(self._train(lifted, 1 / self.n_estimators, rows_needed=False), lifted.rows)
+            release(self._train(lifted, 1 / self.n_estimators, rows_needed=False).base, lifted.rows)
         self.constant = sum(means) / len(means)

@@ -398,7 +398,7 @@ def residuals_after_a_tree(spark, sf_dir):
     model = GradientBoosting(max_depth=2, n_estimators=1)
     graph = star(spark, sf_dir)
     lifted = model._lift(graph, 1, 0)
-    rows = model.residuals(model._train(lifted, 1), *model.trees[-1])
+    rows = model.residuals(model._train(lifted, 1).fact, *model.trees[-1])
     return rows.agg(F.round(F.sum(F.col("s") * F.col("s")) / 1e6, 2).alias("squares"), F.count("*").alias("n"))
 
 

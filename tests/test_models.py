@@ -250,6 +250,18 @@ def test_splitting_ahead_changes_nothing(spark, growth, monkeypatch):
     assert flat(one) == flat(two) and len(one.rules()[0]) == 6
 
 
+def test_writing_the_routed_fact_changes_nothing(spark, monkeypatch):
+    graph = star(spark, rows=200)
+    options = {"max_depth": 3, "num_leaves": 6, "learning_rate": 0.5, "n_estimators": 2}
+    flat = lambda m: sorted((round(v, 6), tuple(path)) for rules in m.rules() for v, path in rules)
+    lazy = flat(GradientBoosting(**options).fit(graph))
+    monkeypatch.setattr(trees, "PENDING", 0)  # after each level
+    assert flat(GradientBoosting(**options).fit(graph)) == lazy
+    monkeypatch.setattr(trees, "PENDING", 2)  # after some
+    monkeypatch.setattr(trees, "too_large", lambda rows: "e" in str(rows.columns))
+    assert flat(GradientBoosting(**options).fit(graph)) == lazy
+
+
 def test_sliced_prefix_sums_equal_whole_ones(spark):
     graph = star(spark, rows=300, nulls=True)
     tree = MessageTree(graph)
