@@ -72,19 +72,16 @@ class Op(Enum):
 
 
 AGGREGATES = {Op.SUM, Op.MAX, Op.MIN, Op.COUNT, Op.DISTINCT_COUNT, Op.AVG, Op.SUM_PROD, Op.DISTRIBUTED_SUM_PROD}
-#: Those that a window can take; a distinct count becomes the size of a set there.
-WINDOWED = {Op.SUM, Op.COUNT, Op.DISTINCT_COUNT, Op.SUM_PROD, Op.DISTRIBUTED_SUM_PROD, Op.MAX, Op.MIN, Op.AVG}
-
 
 def product(factors: Sequence[Value]) -> Column:
     return reduce(operator.mul, map(column, factors))
 
 
-def _sum_prod(factors: Mapping[str, str] | Sequence[Value]) -> Column:
+def _factors(factors: Mapping[str, str] | Sequence[Value]) -> Column:
     """A mapping gives a column for each table."""
     if isinstance(factors, Mapping):
         factors = [Attribute(t, c) for t, c in factors.items()]
-    return F.sum(product(factors))
+    return product(factors)
 
 
 def case(branches: Sequence[tuple[Value, Sequence[Column]]]) -> Column:
@@ -104,7 +101,7 @@ _RULES = {
     Op.COUNT: lambda x: F.count("*") if x == "*" else F.count(column(x)) if not isinstance(x, (list, tuple)) else F.count_if(all_of([column(c).isNotNull() for c in x])),
     Op.DISTINCT_COUNT: lambda x: F.count_distinct(*map(column, x if isinstance(x, (list, tuple)) else [x])),
     Op.AVG: lambda x: F.avg(column(x)),
-    Op.SUM_PROD: _sum_prod,
+    Op.SUM_PROD: lambda xs: F.sum(_factors(xs)),
     Op.DISTRIBUTED_SUM_PROD: lambda terms: F.sum(reduce(operator.add, map(product, terms))),
     Op.PROD: lambda xs: product([column(x).cast("double") for x in xs]),
     Op.ADD: lambda xs: reduce(operator.add, map(column, xs)),
@@ -135,12 +132,18 @@ class Expression:
             raise ValueError(f"unknown operation {self.op}")
         return _RULES[self.op](self.of)
 
-    def over(self, window) -> Column:
-        if self.op not in WINDOWED:
-            raise ValueError(f"{self.op.value} is no window function")
-        if self.op is Op.DISTINCT_COUNT:
-            return F.size(F.collect_set(column(self.of)).over(window)).cast("long")
-        return self.column.over(window)
+    @property
+    def taken_of(self) -> Column:
+        """The value of a row that an aggregate is taken of; a count is taken of ones."""
+        if self.op is Op.COUNT:
+            wanted = [] if self.of == "*" else self.of if isinstance(self.of, (list, tuple)) else [self.of]
+            one = F.lit(1).cast("long")
+            return F.when(all_of([column(c).isNotNull() for c in wanted]), one) if wanted else one
+        if self.op is Op.SUM_PROD:
+            return _factors(self.of)
+        if self.op is Op.DISTRIBUTED_SUM_PROD:
+            return reduce(operator.add, map(product, self.of))
+        return column(self.of)
 
 
 class Test(Enum):

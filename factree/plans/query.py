@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Attribute, Expression, Op, Predicate, Test, Value, all_of, column, predicate_column
+from ..operators.running import running
 from ..sources.catalog import Catalog
 
 
@@ -22,7 +23,7 @@ class Query:
 
     tables are names of the catalog or DataFrames by alias; joins are pairs of attributes that must not differ
     (null equals null); where is a list of predicates, semi joins among them. window_by orders running aggregates
-    (range frame: ties share a value). sample_rate keeps each row of the result with that chance."""
+    (range frame: ties share a value; sums by place are written to the shared folder). sample_rate keeps each row of the result with that chance."""
 
     columns: Mapping[str, Expression | Value] = field(default_factory=dict)
     tables: Sequence[str] | Mapping[str, DataFrame] = ()
@@ -81,8 +82,7 @@ class Query:
     def _projected(self, rows: DataFrame) -> DataFrame:
         out = {n: e if isinstance(e, Expression) else Expression(Op.IDENTITY, e) for n, e in self.columns.items()}
         if self.window_by:
-            window = Window.orderBy(*[F.col(c).asc_nulls_last() for c in self.window_by])
-            return rows.select(*[(e.over(window) if e.is_aggregate else e.column).alias(n) for n, e in out.items()])
+            return running(rows, out, self.window_by)
         if self.group_by:
             keys = [column(g) for g in self.group_by]
             plain = [e.column.alias(n) for n, e in out.items() if not e.is_aggregate]
