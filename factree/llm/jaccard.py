@@ -194,41 +194,60 @@ def first_pairs(spark: SparkSession, found: DataFrame) -> DataFrame:
 def cross_pairs(spark: SparkSession, found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """hub, sig: pairs that share a list, lie in different components and may link by sizes and sketches. nodes: sig, n, root, sketch.
 
-    A list of more than LIST nodes is dealt into parts of about that size, and each two parts meet in a task of their own."""
+    Lists that lie in one component are left out before anything is copied. A longer list than LIST nodes is dealt into parts of
+    about that size, and each two parts meet in a group of their own; a task holds one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "one", "two", "part", "sig", "n", "root")
-        rows = [(*(b.column(c).to_numpy() for c in names), _words(b.column("sketch"))) for b in batches]
-        if not rows:
-            return
-        key, one, two, part, sig, n, root, marks = (np.concatenate([r[k] for r in rows]) for k in range(8))
-        order = np.lexsort((n, two, one, key))
-        key, one, two, part, sig, n, root, marks = (x[order] for x in (key, one, two, part, sig, n, root, marks))
-        ends = np.concatenate([np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1, [len(key)]])
-        start, held, size = 0, [], 0
-        for end in ends:
-            if (root[start:end] != root[start]).any():
-                apart = part[start:end] if one[start] != two[start] else None
-                for a, b in _near(n[start:end], root[start:end], marks[start:end], percent, apart):
-                    left, right = sig[start + a], sig[start + b]
-                    held.append(np.stack([np.minimum(left, right), np.maximum(left, right)]))
-                    size += len(a)
+        held, size = [], 0
+        for part, sig, n, root, marks in _groups(batches):
+            for a, b in _near(n, root, marks, percent, part):
+                held.append(np.stack([np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])]))
+                size += len(a)
                 if size > 500_000:
                     held = [np.unique(np.concatenate(held, axis=1), axis=1)]
                     if (size := held[0].shape[1]) > 250_000:
                         yield _batch(["hub", "sig"], *held[0])
                         held, size = [], 0
-            start = end
         if size:
             yield _batch(["hub", "sig"], *np.unique(np.concatenate(held, axis=1), axis=1))
 
-    rows = found.join(nodes, "sig")
-    long = F.broadcast(scratch(spark, found.groupBy("key").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).filter("parts > 1"), "long"))
-    rows = rows.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    apart = found.join(nodes.select("sig", "root"), "sig").groupBy("key")
+    apart = apart.agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members"))
+    apart = scratch(spark, apart.filter("least <> most").select("key", "members"), "apart")
+    rows = with_lookup(found, apart, "key", "members").filter("members IS NOT NULL").join(nodes, "sig")
+    rows = rows.withColumn("parts", F.ceil(F.col("members") / LIST).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "sig", "n", "root", "sketch")
-    return by_batches(rows.repartition("key", "one", "two"), run, "hub long, sig long").distinct()
+    rows = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n")
+    return by_batches(rows, run, "hub long, sig long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray | None, ...]]:
+    """part (null for a list in one piece), sig, n, root and sketch of the rows of each (key, one, two), from rows in that order; rows of
+    the last group of a batch wait for the next."""
+    names = ("key", "one", "two", "part", "sig", "n", "root")
+    waiting: list[list[np.ndarray]] = []
+    for batch in larger(batches):
+        rows = [*(batch.column(c).to_numpy() for c in names), _words(batch.column("sketch"))]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for x in rows[:3]:
+            new[1:] |= x[1:] != x[:-1]
+        new[0] = bool(waiting) and any(w[-1] != x[0] for w, x in zip(waiting[-1][:3], rows[:3], strict=True))
+        start = 0
+        for end in np.flatnonzero(new):
+            if end > start:
+                waiting.append([x[start:end] for x in rows])
+            yield _group(waiting)
+            waiting, start = [], end
+        waiting.append([x[start:] for x in rows])
+    if waiting:
+        yield _group(waiting)
+
+
+def _group(rows: list[list[np.ndarray]]) -> tuple[np.ndarray | None, ...]:
+    _, one, two, part, *rest = (np.concatenate(x) for x in zip(*rows, strict=True)) if len(rows) > 1 else rows[0]
+    return part if one[0] != two[0] else None, *rest
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -305,7 +324,8 @@ def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
     first = scratch(spark, first_pairs(spark, found), "pairs")
     up = trees(spark, linked(spark, first, texts, size, percent))
     nodes = found.select("sig").distinct().join(classes.select("sig", "n", "sketch"), "sig").join(up, F.col("sig") == F.col("node"), "left")
-    second = scratch(spark, cross_pairs(spark, found, nodes.select("sig", "n", "sketch", F.coalesce("root", "sig").alias("root")), percent), "pairs")
+    nodes = scratch(spark, nodes.select("sig", "n", "sketch", F.coalesce("root", "sig").alias("root")), "nodes")
+    second = scratch(spark, cross_pairs(spark, found, nodes, percent), "pairs")
     roots = up
     if not second.isEmpty():
         more = linked(spark, second, texts, size, percent)

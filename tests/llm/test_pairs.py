@@ -1,4 +1,9 @@
+import itertools
+import random
+
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from factree.llm import components, exact_dedup, jaccard, substrings
 from pyspark.sql import functions as F
@@ -22,6 +27,23 @@ def test_long_lists_are_paired_in_parts(spark, corpus, documents, monkeypatch):
     assert rows(got, "doc_id", "n", "component_id") == sorted(brute.components([r[:2] for r in corpus]), key=repr)
 
 
+def test_groups_that_end_in_any_batch(monkeypatch):
+    monkeypatch.setattr(jaccard, "larger", lambda batches: batches)
+    pick = random.Random(3)
+    rows = sorted((pick.randrange(4), pick.randrange(2), pick.randrange(2), pick.randrange(99)) for _ in range(60))
+    names = ["key", "one", "two", "part", "sig", "n", "root"]
+    for step in (1, 2, 7, 60):
+        batches = []
+        for at in range(0, 60, step):
+            cut = np.array([(k, a, b, 0, n, n, n) for k, a, b, n in rows[at : at + step]], dtype=np.int64)
+            marks = pa.array([bytes(jaccard.SKETCH // 8)] * len(cut), pa.binary())
+            batches.append(pa.RecordBatch.from_arrays([*map(pa.array, cut.T), marks], names=[*names, "sketch"]))
+        found = [(part is None, n.tolist(), marks.shape) for part, _, n, _, marks in jaccard._groups(iter(batches))]
+        expected = [(k[1] == k[2], [r[3] for r in g]) for k, g in ((k, list(g)) for k, g in itertools.groupby(rows, key=lambda r: r[:3]))]
+        assert found == [(same, n, (len(n), jaccard.SKETCH // 64)) for same, n in expected]
+    assert list(jaccard._groups(iter([]))) == []
+
+
 def test_one_row_of_each_component_stays(spark, corpus, documents):
     extra = documents.withColumn("n", F.lit(1)).withColumn("sig", F.lit("clash")).withColumn("keep", F.lit(None).cast("string"))
     again = extra.unionByName(extra.filter("doc_id = 3"))
