@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import binaries, by_batches, larger, likely, rows_kept, scratch, text_digest, with_lookup
+from .base import binaries, by_batches, larger, likely, release, rows_kept, scratch, text_digest, with_lookup
 from .components import components
 
 #: Members that are compared with one hub in one task.
@@ -320,17 +320,21 @@ def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
     keyed = likely(keyed, F.xxhash64("digest"), wanted, "__hash")
     same = keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["digest"] == wanted["__digest"])
     texts = scratch(spark, keyed.join(wanted.hint("merge"), same).select("sig", "text").dropDuplicates(["sig"]), "texts")
+    release(wanted)
 
     first = scratch(spark, first_pairs(spark, found), "pairs")
     up = trees(spark, linked(spark, first, texts, size, percent))
+    release(first)
     nodes = found.select("sig").distinct().join(classes.select("sig", "n", "sketch"), "sig").join(up, F.col("sig") == F.col("node"), "left")
     nodes = scratch(spark, nodes.select("sig", "n", "sketch", F.coalesce("root", "sig").alias("root")), "nodes")
     second = scratch(spark, cross_pairs(spark, found, nodes, percent), "pairs")
+    release(found, nodes)
     roots = up
     if not second.isEmpty():
         more = linked(spark, second, texts, size, percent)
         over = lambda c, name: more.join(up.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
         more = scratch(spark, over("a", "ra"), "links")
+        release(second, texts)
         more = scratch(spark, over("b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct(), "links")
         joined = components(spark, more)
         tops = up.unionByName(up.select(F.col("root").alias("node"), "root")).unionByName(joined.select("node", F.col("node").alias("root"))).distinct()
@@ -339,6 +343,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
         roots = roots.groupBy("node").agg(F.min("root").alias("root"))
     else:
         roots = up.unionByName(up.select(F.col("root").alias("node"), "root").distinct())
+    release(texts)
     return _named(spark, rows.drop("sketch"), classes.drop("sketch"), roots)
 
 
