@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factree.llm import decontaminate, exact_dedup, jaccard, mixing, quality
-from factree.llm.base import read, scratch
+from factree.llm.base import read, release, scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents; each result is written and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch(spark, stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        before, docs = docs, scratch(spark, stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
