@@ -11,8 +11,12 @@ Answers are derived from those of similar sets: each node is compared first with
 lists that it shares most of; what links falls into one component, and all pairs inside a component are skipped from
 then on. Lists that lie in one component are done. In the lists left, every pair across components counts, so no link
 is lost; within a list, sizes that can't link are skipped as a block, and so are pairs whose parity sketches differ in
-more bits than linked sets can differ in shingles (each differing shingle flips one bit, so a sketch never skips a link). Comparisons
-of what is left are exact, on the shingles of whole texts; hashes have 64 bits.
+more bits than linked sets can differ in shingles (each differing shingle flips one bit, so a sketch never skips a link). The sketches
+that lists carry have SKETCH bits, which large sets fill whether they are alike or not; all pairs are held against
+sketches that grow with the sets before any text moves. Comparisons of what is left are exact, on the shingles of whole texts; hashes have 64 bits.
+
+What lies on disk at once follows the documents, not the pairs: lists, pairs and texts are brought together in rounds of
+bounded size, as many as it takes, and the shuffle files of a round go when it ends.
 
 Defined results: a null or blank text has the empty set and links with nothing; fewer words than a shingle make one
 shingle of the whole sequence; equal ids are separate rows with their own texts; a component is named by its least
@@ -22,6 +26,7 @@ non-null id; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,10 @@ from .components import components
 
 #: Members that are compared with one hub in one task.
 CHUNK = 200
-#: Bits of a parity sketch.
+#: Bits of a parity sketch, at least.
 SKETCH = 512
+#: A round brings together about so many rows of lists, pairs with their sketches, and bytes of text.
+ROUND_ROWS, ROUND_PAIRS, ROUND_BYTES = 20_000_000, 2_000_000, 1 << 30
 #: Nodes of a list, or of a part of a longer one, that are paired in one task.
 LIST = 5000
 #: Pairs of a list that are looked at together.
@@ -66,12 +73,23 @@ def signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=2)
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """SKETCH bits; a bit tells whether an odd number of tokens falls on it."""
-    bits = np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+def sketch(tokens: np.ndarray, size: int = SKETCH) -> bytes:
+    """size bits, a power of two; a bit tells whether an odd number of tokens falls on it."""
+    bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def sketch_size(n: int, percent: int) -> int:
+    """Bits of a sketch that tells sets of n shingles apart: at least four times what two that link can differ in."""
+    return max(SKETCH, 1 << (8 * n * (100 - percent) // (100 + percent)).bit_length())
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ; a larger one is folded to the size of the other."""
+    small, large = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
+    return int(np.bitwise_count(small ^ np.bitwise_xor.reduce(large.reshape(-1, len(small)))).sum())
+
+
 class Levels:
     """Size levels and their numbers of blocks, for a threshold of percent / 100."""
 
@@ -121,20 +139,23 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, digest (of the text), n, sig, sketch; sig is null for empty sets."""
+def sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, digest (of the text), bytes (of the text), n, sig, sketch, wide (a larger sketch, for large sets only); sig is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shingles(t, size) for t in binaries(batch.column("text"))]
+            texts = binaries(batch.column("text"))
+            rows = [shingles(t, size) for t in texts]
             n = pa.array([len(t) for t in rows], pa.int64())
             sig = np.array([signature(t) for t in rows], dtype=np.uint64)
             sig = pa.array(signed(sig), mask=np.array([not len(t) for t in rows], dtype=bool))
             marks = pa.array([sketch(t) for t in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), n, sig, marks], names=["doc_id", "digest", "n", "sig", "sketch"])
+            wide = pa.array([sketch(t, bits) if (bits := sketch_size(len(t), percent)) > SKETCH else None for t in rows], pa.binary())
+            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(map(len, texts), pa.int64()), n, sig, marks, wide]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "bytes", "n", "sig", "sketch", "wide"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
-    return by_batches(rows, run, "doc_id long, digest binary, n long, sig long, sketch binary")
+    return by_batches(rows, run, "doc_id long, digest binary, bytes long, n long, sig long, sketch binary, wide binary")
 
 
 def lists(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -181,18 +202,21 @@ def lists(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def first_pairs(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """hub, sig: each node with the hub that it shares most lists with. A list's hub is its most central node, the one
+    """hub, sig, as a written table: each node with the hub that it shares most lists with. A list's hub is its most central node, the one
     with the most other nodes in all its lists; hubs of hubs are more central yet, so there are no cycles."""
     sizes = scratch(spark, found.groupBy("key").agg(F.count("*").alias("members")), "sizes")
     central = with_lookup(found, sizes, "key", "members").groupBy("sig").agg(F.sum("members").alias("central"))
     hubs = found.join(central, "sig").groupBy("key").agg(F.max(F.struct("central", "sig")).alias("top"), F.count("*").alias("members"))
     hubs = scratch(spark, hubs.select("key", F.col("top.sig").alias("hub"), "members"), "hubs")
     pairs = with_lookup(found, hubs, "key", "members").filter("sig <> hub").groupBy("hub", "sig").agg(F.count("*").alias("lists"))
-    return pairs.groupBy("sig").agg(F.max(F.struct("lists", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "sig")
+    pairs = pairs.groupBy("sig").agg(F.max(F.struct("lists", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "sig")
+    pairs = scratch(spark, pairs, "pairs")
+    release(sizes, hubs)
+    return pairs
 
 
 def cross_pairs(spark: SparkSession, found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """hub, sig: pairs that share a list, lie in different components and may link by sizes and sketches. nodes: sig, n, root, sketch.
+    """hub, sig, as a written table: pairs that share a list, lie in different components and may link by sizes and sketches. nodes: sig, n, root, sketch.
 
     Lists that lie in one component are left out before anything is copied. A longer list than LIST nodes is dealt into parts of
     about that size, and each two parts meet in a group of their own; a task holds one group at a time."""
@@ -214,13 +238,27 @@ def cross_pairs(spark: SparkSession, found: DataFrame, nodes: DataFrame, percent
     apart = found.join(nodes.select("sig", "root"), "sig").groupBy("key")
     apart = apart.agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members"))
     apart = scratch(spark, apart.filter("least <> most").select("key", "members"), "apart")
-    rows = with_lookup(found, apart, "key", "members").filter("members IS NOT NULL").join(nodes, "sig")
-    rows = rows.withColumn("parts", F.ceil(F.col("members") / LIST).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "sig", "n", "root", "sketch")
-    rows = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n")
-    return by_batches(rows, run, "hub long, sig long").distinct()
+    total = apart.agg(F.sum(F.col("members") * F.ceil(F.col("members") / LIST))).first()[0]
+    pairs, rounds = [], _rounds(total, ROUND_ROWS)
+    for k in range(rounds):
+        here = F.pmod("key", F.lit(rounds)) == k
+        rows = with_lookup(found.filter(here), apart.filter(here), "key", "members").filter("members IS NOT NULL").join(nodes, "sig")
+        rows = rows.withColumn("parts", F.ceil(F.col("members") / LIST).cast("int"))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "sig", "n", "root", "sketch")
+        rows = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n")
+        pairs.append(scratch(spark, by_batches(rows, run, "hub long, sig long").distinct(), "pairs"))
+    release(apart)
+    if rounds == 1:
+        return pairs[0]
+    out = scratch(spark, reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
+    release(*pairs)
+    return out
+
+
+def _rounds(total: int | None, most: int) -> int:
+    return max(1, -(-int(total or 0) // most))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray | None, ...]]:
@@ -276,8 +314,48 @@ def _near(n: np.ndarray, root: np.ndarray, marks: np.ndarray, percent: int, part
         at = upto
 
 
-def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of pairs (hub, sig; a written table) that link. texts: sig, text."""
+def may_link(spark: SparkSession, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """hub, sig, bytes (of sig's text), as a written table: the pairs of pairs (hub, sig; a written table) that may link by sizes and whole sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("hub_n", "n", "hub_marks", "marks")), strict=True)
+            keep = [100 * min(n, m) >= percent * max(n, m) and bits_apart(x, y) * (100 + percent) <= (n + m) * (100 - percent) for n, m, x, y in rows]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["hub", "sig", "bytes"])
+
+    marks = classes.select("sig", "n", "bytes", F.coalesce("wide", "sketch").alias("marks"))
+    degree = pairs.groupBy("hub").agg(F.count("*").alias("degree"))
+    hubs = marks.select(F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("marks").alias("hub_marks"))
+    hubs = scratch(spark, degree.join(hubs, "hub"), "hubs")
+    close, rounds = [], _rounds(pairs.count(), ROUND_PAIRS)
+    for k in range(rounds):
+        part = pairs.filter(F.pmod(F.xxhash64("hub", "sig"), F.lit(rounds)) == k)
+        rows = with_lookup(part, hubs, "hub", "degree").join(marks.hint("merge"), "sig")
+        rows = rows.select("hub", "sig", "bytes", "hub_n", "n", "hub_marks", "marks")
+        close.append(scratch(spark, by_batches(rows, run, "hub long, sig long, bytes long"), "close"))
+    release(hubs)
+    if rounds == 1:
+        return close[0]
+    out = scratch(spark, reduce(DataFrame.unionByName, close), "close")
+    release(*close)
+    return out
+
+
+def texts_of(spark: SparkSession, pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """sig, text, as a written table, of the sets in pairs."""
+    sigs = pairs.select("sig").unionByName(pairs.select(F.col("hub").alias("sig"))).distinct()
+    wanted = sigs.join(classes, "sig").select("sig", F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+    wanted = scratch(spark, wanted.withColumn("__hash", F.xxhash64("__digest")), "wanted")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", text_digest(F.col("text")))
+    keyed = likely(keyed, F.xxhash64("digest"), wanted, "__hash")
+    same = keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["digest"] == wanted["__digest"])
+    texts = scratch(spark, keyed.join(wanted.hint("merge"), same).select("sig", "text").dropDuplicates(["sig"]), "texts")
+    release(wanted)
+    return texts
+
+
+def linked(spark: SparkSession, pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of pairs (hub, sig; a written table) that link, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hub_set = None, None
@@ -295,46 +373,56 @@ def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, p
                         b.append(sig)
             yield _batch(["a", "b"], np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
 
-    degree = scratch(spark, pairs.groupBy("hub").agg(F.count("*").alias("degree")), "degree")
-    pairs = with_lookup(pairs, degree, "hub", "degree")
-    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("sig"), F.ceil(F.col("degree") / CHUNK))).select("hub", "chunk", "sig")
-    pairs = scratch(spark, pairs, "pairs")
-    members = pairs.join(texts.hint("merge"), "sig").select("hub", "chunk", F.lit(True).alias("member"), "sig", "text")
-    hubs = pairs.select("hub", "chunk").distinct().join(texts.withColumnRenamed("sig", "hub").hint("merge"), "hub")
-    rows = members.unionByName(hubs.select("hub", "chunk", F.lit(False).alias("member"), F.col("hub").alias("sig"), "text"))
-    rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "member")
-    return by_batches(rows, run, "a long, b long")
+    close = may_link(spark, pairs, classes, percent)
+    texts = texts_of(spark, close, docs, classes)
+    degree = scratch(spark, close.groupBy("hub").agg(F.count("*").alias("degree")), "degree")
+    rounds = _rounds(close.agg(F.sum("bytes")).first()[0], ROUND_BYTES)
+    chunked = with_lookup(close, degree, "hub", "degree")
+    chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("sig"), F.ceil(F.col("degree") / CHUNK)))
+    chunked = chunked.select("hub", "chunk", "sig", F.pmod(F.xxhash64("hub", "chunk"), F.lit(rounds)).alias("round"))
+    chunked = scratch(spark, chunked, "pairs")
+    release(close, degree)
+    found = []
+    for k in range(rounds):
+        part, needed = chunked.filter(F.col("round") == k).select("hub", "chunk", "sig"), texts
+        if rounds > 1:
+            sigs = part.select("sig").unionByName(part.select(F.col("hub").alias("sig"))).distinct()
+            sigs = scratch(spark, sigs.select(F.xxhash64("sig").alias("__hash")), "needed")
+            needed = likely(texts, F.xxhash64("sig"), sigs, "__hash")
+        members = part.join(needed.hint("merge"), "sig").select("hub", "chunk", F.lit(True).alias("member"), "sig", "text")
+        hubs = part.select("hub", "chunk").distinct().join(needed.withColumnRenamed("sig", "hub").hint("merge"), "hub")
+        rows = members.unionByName(hubs.select("hub", "chunk", F.lit(False).alias("member"), F.col("hub").alias("sig"), "text"))
+        rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "member")
+        found.append(scratch(spark, by_batches(rows, run, "a long, b long"), "links"))
+        if rounds > 1:
+            release(sigs)
+    release(chunked, texts)
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, digest, n, component_id and keep (one row per component), one row per row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    rows = scratch(spark, sets(docs, size), "sets")
+    rows = scratch(spark, sets(docs, size, percent), "sets")
     own = F.struct(F.col("doc_id").isNull().alias("isnull"), "doc_id", "digest")
-    classes = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(own).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    one = [F.first(c).alias(c) for c in ("n", "sketch", "wide")]
+    classes = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(own).alias("first"), *one, F.max("bytes").alias("bytes"), F.count("*").alias("copies"))
     classes = scratch(spark, classes, "classes")
     found = scratch(spark, lists(docs, size, percent), "lists")
-    wanted = found.select("sig").distinct().join(classes, "sig").select("sig", F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
-    wanted = scratch(spark, wanted.withColumn("__hash", F.xxhash64("__digest")), "wanted")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", text_digest(F.col("text")))
-    keyed = likely(keyed, F.xxhash64("digest"), wanted, "__hash")
-    same = keyed["doc_id"].eqNullSafe(wanted["__id"]) & (keyed["digest"] == wanted["__digest"])
-    texts = scratch(spark, keyed.join(wanted.hint("merge"), same).select("sig", "text").dropDuplicates(["sig"]), "texts")
-    release(wanted)
 
-    first = scratch(spark, first_pairs(spark, found), "pairs")
-    up = trees(spark, linked(spark, first, texts, size, percent))
+    first = first_pairs(spark, found)
+    up = trees(spark, linked(spark, first, docs, classes, size, percent))
     release(first)
     nodes = found.select("sig").distinct().join(classes.select("sig", "n", "sketch"), "sig").join(up, F.col("sig") == F.col("node"), "left")
     nodes = scratch(spark, nodes.select("sig", "n", "sketch", F.coalesce("root", "sig").alias("root")), "nodes")
-    second = scratch(spark, cross_pairs(spark, found, nodes, percent), "pairs")
+    second = cross_pairs(spark, found, nodes, percent)
     release(found, nodes)
     roots = up
     if not second.isEmpty():
-        more = linked(spark, second, texts, size, percent)
+        more = linked(spark, second, docs, classes, size, percent)
         over = lambda c, name: more.join(up.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
         more = scratch(spark, over("a", "ra"), "links")
-        release(second, texts)
+        release(second)
         more = scratch(spark, over("b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct(), "links")
         joined = components(spark, more)
         tops = up.unionByName(up.select(F.col("root").alias("node"), "root")).unionByName(joined.select("node", F.col("node").alias("root"))).distinct()
@@ -343,8 +431,9 @@ def near_classes(spark: SparkSession, docs: DataFrame, size: int = 4, percent: i
         roots = roots.groupBy("node").agg(F.min("root").alias("root"))
     else:
         roots = up.unionByName(up.select(F.col("root").alias("node"), "root").distinct())
-    release(texts)
-    return _named(spark, rows.drop("sketch"), classes.drop("sketch"), roots)
+    out = _named(spark, rows, classes, roots)
+    release(classes)
+    return out
 
 
 def trees(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -364,7 +453,8 @@ def _named(spark: SparkSession, rows: DataFrame, classes: DataFrame, roots: Data
     nodes = scratch(spark, nodes, "nodes")
     heads = scratch(spark, nodes.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("members")), "heads")
     named = scratch(spark, with_lookup(nodes.select("sig", "root", "copies"), heads, "root", "members").select("sig", "head", "copies"), "named")
-    out = with_lookup(rows, named, "sig", "copies")
+    release(nodes, heads)
+    out = with_lookup(rows.select("doc_id", "digest", "n", "sig"), named, "sig", "copies")
     alone = F.col("head").isNull()
     keep = alone | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("digest") == F.col("head.digest")))
     component: Column = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))

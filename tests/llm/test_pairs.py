@@ -27,6 +27,45 @@ def test_long_lists_are_paired_in_parts(spark, corpus, documents, monkeypatch):
     assert rows(got, "doc_id", "n", "component_id") == sorted(brute.components([r[:2] for r in corpus]), key=repr)
 
 
+def test_rounds_change_nothing(spark, corpus, documents, monkeypatch):
+    for name, most in (("ROUND_ROWS", 900), ("ROUND_PAIRS", 60), ("ROUND_BYTES", 40_000)):
+        monkeypatch.setattr(jaccard, name, most)
+    got = jaccard.near_classes(spark, documents)
+    assert rows(got, "doc_id", "n", "component_id") == sorted(brute.components([r[:2] for r in corpus]), key=repr)
+
+
+def test_texts_of_large_sets_that_share_a_passage_do_not_move(spark, monkeypatch):
+    pick, moved, write = random.Random(9), [], jaccard.scratch
+
+    def scratch(spark, df, name):
+        out = write(spark, df, name)
+        if name == "texts":
+            moved.append(out.count())
+        return out
+
+    passage = [f"p{pick.random()}" for _ in range(300)]
+    texts = [[f"w{pick.random()}" for _ in range(1800 + 20 * k)] + passage for k in range(30)]
+    texts.append(["other", *texts[3]])
+    corpus = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    monkeypatch.setattr(jaccard, "scratch", scratch)
+    got = jaccard.near_classes(spark, spark.createDataFrame(corpus, "doc_id long, text string"), 5, 80)
+    assert rows(got, "doc_id", "n", "component_id") == sorted(brute.components(corpus, 5, 80), key=repr)
+    assert sum(moved) == 2
+
+
+def test_whole_sketches_never_differ_in_more_bits_than_the_sets():
+    pick = np.random.default_rng(5)
+    every = np.unique(pick.integers(0, 2**63, 9000).astype(np.uint64) * np.uint64(2))
+    sizes = [jaccard.sketch_size(n, 80) for n in (1, 500, 3000, 9000)]
+    assert sizes[0] == sizes[1] == jaccard.SKETCH and sizes == sorted(sizes) and sizes[3] >= 9000 * 8 // 9
+    for n in (400, 700, 2500, 8000):
+        for m in (500, 1500, 8500):
+            x, y = np.sort(pick.permutation(every)[:n]), np.sort(pick.permutation(every)[:m])
+            marks = [jaccard.sketch(t, jaccard.sketch_size(len(t), 80)) for t in (x, y)]
+            assert jaccard.bits_apart(*marks) == jaccard.bits_apart(*marks[::-1]) <= len(np.setxor1d(x, y))
+            assert jaccard.bits_apart(marks[0], jaccard.sketch(x)) == 0
+
+
 def test_groups_that_end_in_any_batch(monkeypatch):
     monkeypatch.setattr(jaccard, "larger", lambda batches: batches)
     pick = random.Random(3)
